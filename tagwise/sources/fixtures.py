@@ -33,15 +33,18 @@ def posts(spark: SparkSession, sf_dir: str, null_every: int | None = None) -> Da
     docs = tables.documents(spark, sf_dir).select("doc_id", "text", "lang")
     labs = tables.labels(spark, sf_dir).select("doc_id", "quality", "toxic")
     low = F.lower(F.col("text"))
-
-    df = docs.join(labs, "doc_id", "left")
-    df = df.withColumn("_hits", F.filter(_word_table(),
-                                          lambda w: _locate(w["word"], low) > 0))
-    techniques = F.transform("_hits", lambda w: w["label"])
-    triggers = F.transform(
-        "_hits",
-        lambda w: F.array(_locate(w["word"], low),
-                          _locate(w["word"], low) + F.length(w["word"])))
+    # One position per fixed label word, each computed once as a plain column
+    # (no lambda captures an outer column).
+    pos_cols = {lbl: _locate(F.lit(vocab.FIXTURE_WORDS[lbl]), low) for lbl in vocab.CANONICAL_LABELS}
+    df = docs.join(labs, "doc_id", "left").select(
+        "doc_id", "text", "lang", "quality", "toxic",
+        *[p.alias(f"_p{i}") for i, p in enumerate(pos_cols.values())])
+    techniques = F.filter(F.array(*[
+        F.when(F.col(f"_p{i}") > 0, F.lit(lbl)) for i, lbl in enumerate(pos_cols)]),
+        lambda x: x.isNotNull())
+    triggers = F.filter(F.array(*[
+        F.when(F.col(f"_p{i}") > 0, F.array(F.col(f"_p{i}"), F.col(f"_p{i}") + len(vocab.FIXTURE_WORDS[lbl])))
+        for i, lbl in enumerate(pos_cols)]), lambda x: x.isNotNull())
     manip = F.coalesce((F.col("quality") == 0) | (F.col("toxic") == 1), F.size(techniques) > 0)
     if null_every:
         is_null = (F.col("doc_id") % null_every) == 0
@@ -139,6 +142,17 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per post, in-row: techniques and logits in canonical order, where
+    logit = (score - 0.5) * 8 and score = 0.55 y + 0.45 h (as in ``scores``)."""
+    p = posts(spark, sf_dir).select("id", "techniques")
+    logits = F.array(*[(
+        F.lit(0.55) * F.array_contains("techniques", lbl).cast("int")
+        + F.lit(0.45) * md5_unit(F.concat(F.col("id"), F.lit(lbl))) - F.lit(0.5)) * F.lit(8.0)
+        for lbl in vocab.CANONICAL_LABELS])
+    return p.select("id", "techniques", logits.alias("logits"))
+
+
 def id_bucket(id_col: Column, seed: int = 42) -> Column:
     return seeded_bucket(id_col, seed)
 

@@ -84,7 +84,7 @@ FIXTURE_WORDS = {
 
 # --- fixed values: special model-output markers ---------------------------------
 GENERATION_ERROR = "[GENERATION_ERROR]"
-CONTENT_NOT_FOUND = "[CONTENT NOT FOUND IN TEST DATA]"
+CONTENT_NOT_FOUND = "[CONTENT NOT FOUND IN test_dataset_raw]"
 
 DEFAULT_SEED = 42
 
