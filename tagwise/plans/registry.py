@@ -44,4 +44,4 @@ def load_all() -> dict[str, QuerySpec]:
     return REGISTRY
 
 
-PLAN_MODULES = ["q_stats", "q_labels", "q_text"]
+PLAN_MODULES = ["q_stats", "q_labels", "q_text", "q_splits", "q_metrics"]
