@@ -44,4 +44,4 @@ def load_all() -> dict[str, QuerySpec]:
     return REGISTRY
 
 
-PLAN_MODULES = ["q_stats", "q_labels", "q_text", "q_splits", "q_metrics", "q_spans", "q_features", "q_vectors", "q_prompts", "q_sources", "q_stream"]
+PLAN_MODULES = ["q_stats", "q_labels", "q_text", "q_splits", "q_metrics", "q_spans", "q_features", "q_vectors", "q_prompts", "q_sources", "q_stream", "q_models"]
