@@ -34,7 +34,7 @@ def q_l2(spark, sf):
     return _lt(spark, sf).select("id", arr_str(LF.labels_quoted_or_single(F.col("techniques_text"))).alias("labels"))
 
 
-@register("labels_canonical", covers="L3", sql=LT + f"""
+@register("labels_canonical", covers="L3 Q5 Q14", sql=LT + f"""
 SELECT id, array_to_string({D.canonical('techniques_text')}, ',') AS labels FROM label_text""")
 def q_l3(spark, sf):
     return _lt(spark, sf).select("id", arr_str(LF.labels_canonical(F.col("techniques_text"))).alias("labels"))
@@ -53,7 +53,7 @@ def q_l4(spark, sf):
     return df.select("id", F.array_join(mh, ",").alias("multi_hot"), F.array_join(unk, ",").alias("unknown"))
 
 
-@register("labels_alias", covers="L5", sql=LT + f"""
+@register("labels_alias", covers="L5 Q15 Q21", sql=LT + f"""
 SELECT id, array_to_string({D.labels_alias('techniques_text')}, ',') AS labels FROM label_text""")
 def q_l5(spark, sf):
     return _lt(spark, sf).select("id", arr_str(LF.labels_alias(F.col("techniques_text"))).alias("labels"))

@@ -13,7 +13,8 @@ from ..operators import models as MO
 from ..operators import spans as SP
 from ..operators import split as S
 from ..operators import stats
-from ..sources import fixtures
+from ..session import scratch_path
+from ..sources import fixtures, io
 from .registry import register
 from .sqlviews import with_views
 from ..functions.hashing import duck_seeded_bucket
@@ -108,10 +109,13 @@ def q_r6(spark, sf):
     return spark.createDataFrame(rows, "label string, n_pos bigint, n_neg bigint, n_synthetic bigint")
 
 
-@register("score_and_submit", covers="M7 M8 L10 P16")
+@register("score_and_submit", covers="M7 M8 L10 P16 S12 Q13")
 def q_m7(spark, sf):
     f = _features(spark, sf).checkpoint()
     models = MO.fit_one_vs_rest(f.where(F.col("split") == "train"), LABELS)
+    for name, m in models.items():                       # S12: persist models and classes
+        if m is not None:
+            io.save_model(m, scratch_path(spark, f"model_{name}"), LABELS, spark)
     scores = MO.score_long(models, f, LABELS).join(f.select("id", "split"), "id")
     best = ME.best_threshold(ME.threshold_sweep(scores.where(F.col("split") == "val")))
     pred = ME.apply_thresholds(scores, best).where(F.col("p") == 1)

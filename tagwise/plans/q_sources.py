@@ -74,7 +74,7 @@ FROM (SELECT content, {duck_python_list_text('techniques')} AS tt,
         THEN 'ru' ELSE 'uk' END AS file_lang, {_LANG_SQL} AS cl FROM posts)""")])
 
 
-@register("synthetic_compose", covers="T7 S4 U4 P6 P9 P10 P11 P12 L2 L14", sql=SYN + """
+@register("synthetic_compose", covers="T7 S4 U4 P6 P9 P10 P11 P12 L2 L14 Q20", sql=SYN + """
 SELECT content, lang, manipulative, '[' || array_to_string(techniques, ', ') || ']' AS techniques,
        '[]' AS trigger_words FROM syn""")
 def q_t7(spark, sf):
