@@ -25,8 +25,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a text scan over the cluster when it arrives in fewer splits than there
+    are cores (e.g. one parquet row group): per-row text work is CPU-bound and
+    otherwise runs in one task. With many input splits (the large-data case) this
+    is a no-op, so it never adds a shuffle to a big scan."""
+    sc = df.sparkSession.sparkContext
+    target = 2 * sc.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,4 +53,4 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "conversations")
+    return spread(read_table(spark, sf_dir, "conversations"))
