@@ -67,7 +67,7 @@ def _labels_with_post_marker(df: DataFrame, labels_col: str = "techniques") -> D
     marker = F.array(F.struct(F.lit(True).alias("is_post"), F.lit(None).cast("string").alias("label")))
     occ = F.transform(F.coalesce(F.col(labels_col), F.array().cast("array<string>")),
                       lambda x: F.struct(F.lit(False).alias("is_post"), x.alias("label")))
-    return df.select(F.explode(F.concat(marker, occ)).alias("e")).select("e.is_post", "e.label")
+    return df.select(F.explode_outer(F.concat(marker, occ)).alias("e")).select("e.is_post", "e.label")
 
 
 def label_distribution(df: DataFrame) -> DataFrame:
@@ -131,24 +131,37 @@ def label_by_lang(df: DataFrame) -> DataFrame:
     return e.groupBy("label", "lang").agg(_i64(F.count(F.lit(1))).alias("count"))
 
 
+def _explode_rows(arr_col, name: str):
+    """explode() that keeps the optimizer from inferring ``size(arr) > 0`` and
+    pushing that copy of the array expression into the scan: explode_outer, then
+    drop the null element rows."""
+    return F.explode_outer(arr_col).alias(name)
+
+
 def label_cooccurrence(df: DataFrame) -> DataFrame:
     """Co-occurrence matrix over manipulative posts, diagonal included.
 
     Pairs are exploded inside each row (at most k^2 per post), never by a self
-    join; the zero cells come from the distinct labels (a bounded vocabulary)
-    paired inside one row, then a left join of the counts.
+    join, and counted in one aggregate. Its at most L^2 cells (L = labels seen, a
+    bounded vocabulary) are gathered into one row and zero-filled there, so the
+    posts are scanned once.
     """
     m = df.where(F.col("manipulative")).select(F.array_distinct("techniques").alias("t"))
-    pairs = (m.select(F.explode("t").alias("label_a"), "t")
-              .select("label_a", F.explode("t").alias("label_b"))
+    a = m.select(_explode_rows(F.col("t"), "label_a"), "t").where(F.col("label_a").isNotNull())
+    pairs = (a.select("label_a", _explode_rows(F.col("t"), "label_b")).where(F.col("label_b").isNotNull())
               .groupBy("label_a", "label_b").agg(F.count(F.lit(1)).alias("count")))
-    # every label that occurs has its diagonal cell, so the grid reuses the pair counts
-    vocab_row = pairs.where(F.col("label_a") == F.col("label_b")).agg(
-        F.array_sort(F.collect_set("label_a")).alias("v"))
-    grid = (vocab_row.select(F.explode("v").alias("label_a"), "v")
-                     .select("label_a", F.explode("v").alias("label_b")))
-    return grid.join(pairs, ["label_a", "label_b"], "left").select(
-        "label_a", "label_b", _i64(F.coalesce("count", F.lit(0))).alias("count"))
+    sep = "\u0001"
+    cells = pairs.agg(F.collect_list(F.struct("label_a", "label_b", "count")).alias("c"))
+    cells = cells.select(
+        F.array_sort(F.array_distinct(F.transform("c", lambda x: x["label_a"]))).alias("labs"),
+        F.map_from_entries(F.transform("c", lambda x: F.struct(
+            F.concat(x["label_a"], F.lit(sep), x["label_b"]), x["count"]))).alias("m"))
+    z = F.arrays_zip(F.col("labs").alias("a"), F.array_repeat(F.struct("labs", "m"), F.size("labs")).alias("ctx"))
+    grid = F.flatten(F.transform(z, lambda e: F.transform(e["ctx"]["labs"], lambda b: F.struct(
+        e["a"].alias("label_a"), b.alias("label_b"),
+        F.coalesce(F.try_element_at(e["ctx"]["m"], F.concat(e["a"], F.lit(sep), b)), F.lit(0)).alias("count")))))
+    return cells.select(F.explode(grid).alias("g")).select(
+        "g.label_a", "g.label_b", _i64(F.col("g.count")).alias("count"))
 
 
 def label_count_histogram(df: DataFrame) -> DataFrame:
