@@ -170,7 +170,8 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 def apply_thresholds(long_scores: DataFrame, thresholds: DataFrame, inclusive: bool = True) -> DataFrame:
     """Predict p per (id, label) with that label's threshold (``>=`` by default).
-    The thresholds table has one row per label (a fixed vocabulary)."""
+    The thresholds table has one row per label, so its broadcast is bounded by the
+    label vocabulary, not by the data."""
     j = long_scores.join(F.broadcast(thresholds.select("label", "threshold")), "label")
     cmp = F.col("score") >= F.col("threshold") if inclusive else F.col("score") > F.col("threshold")
     return j.withColumn("p", cmp.cast("int"))
