@@ -180,7 +180,7 @@ def q_tuned(spark, sf):
 
 
 @register("rarity_threshold", covers="M5", sql=with_views("store") + """
-SELECT label, count, CASE WHEN count < 200 THEN 0.3 ELSE 0.5 END AS threshold FROM (
+SELECT label, count, CAST(CASE WHEN count < 200 THEN 0.3 ELSE 0.5 END AS DOUBLE) AS threshold FROM (
   SELECT label, count(*) AS count FROM (SELECT unnest(CASE WHEN len(coalesce(techniques, [])) = 0 THEN ['none']
   ELSE list_distinct(techniques) END) AS label FROM store) GROUP BY label)""")
 def q_m5(spark, sf):
