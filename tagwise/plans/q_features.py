@@ -51,9 +51,11 @@ def _vocab(spark, sf):
 SELECT id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct,
        CAST(sum({duck_md5_u32('term')}) AS BIGINT) AS checksum FROM g GROUP BY id""")
 def q_tf1(spark, sf):
-    t = FE.doc_terms(_docs(spark, sf), "cleaned")
-    return t.groupBy("id").agg(F.count(F.lit(1)).alias("n_grams"), F.countDistinct("term").alias("n_distinct"),
-                               F.sum(md5_u32(F.col("term"))).cast("bigint").alias("checksum"))
+    # n-grams per distinct word, joined back to (doc, word) counts
+    t = FE.doc_term_counts(_docs(spark, sf), "cleaned").groupBy("id", "term").agg(F.sum("n").alias("n"))
+    return t.groupBy("id").agg(F.sum("n").cast("bigint").alias("n_grams"),
+                               F.count(F.lit(1)).cast("bigint").alias("n_distinct"),
+                               F.sum(md5_u32(F.col("term")) * F.col("n")).cast("bigint").alias("checksum"))
 
 
 @register("tfidf_vocabulary", covers="TF2 O3", sql=BASE + "SELECT term, df, tf, rank, n_docs FROM vocab")
