@@ -122,7 +122,7 @@ _AUG = PR.AUGMENT_USER.replace("{n}", "25")
          FROM (SELECT id, content, unnest(techniques) AS label FROM posts) GROUP BY label),
 d AS (SELECT * FROM (VALUES {", ".join(f"({sql_str(k)}, {sql_str(v)})" for k, v in vocab.LABEL_DEFINITIONS.items())}) t(label, d))
 SELECT ex.label, {sql_str(PR.AUGMENT_SYSTEM)} AS system,
-       replace({_fill_sql(_LABEL_AUG := _AUG.replace("{t}", chr(0)), d="coalesce(d.d, 'A specific manipulation technique.')",
+       replace({_fill_sql(_AUG.replace("{t}", chr(0)), d="coalesce(d.d, 'A specific manipulation technique.')",
                           e="'Example: \"' || ex.example || '\"'")}, chr(0), ex.label) AS user
 FROM ex LEFT JOIN d ON ex.label = d.label WHERE ex.label <> 'loaded_language'""")
 def q_t5(spark, sf):

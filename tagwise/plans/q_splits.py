@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.hashing import duck_md5_u32, duck_seeded_bucket
