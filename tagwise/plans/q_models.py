@@ -13,7 +13,7 @@ from ..operators import models as MO
 from ..operators import spans as SP
 from ..operators import split as S
 from ..operators import stats
-from ..session import scratch_path
+from ..session import checkpointed, scratch_path
 from ..sources import fixtures, io
 from .registry import register
 from .sqlviews import with_views
@@ -47,7 +47,7 @@ def q_tf5(spark, sf):
 
 
 def _tuned_metrics(spark, sf, kind: str):
-    f = _features(spark, sf).checkpoint()
+    f = checkpointed(_features(spark, sf))
     models = MO.fit_one_vs_rest(f.where(F.col("split") == "train"), LABELS, kind=kind)
     scores = MO.score_long(models, f.where(F.col("split") != "train"), LABELS, kind=kind)
     scores = scores.join(f.select("id", "split"), "id")
@@ -77,7 +77,7 @@ def _store_features(spark, sf):
 
 @register("ovr_gbt", covers="M4 M5 Q8 Q19")
 def q_m4(spark, sf):
-    f = _store_features(spark, sf).checkpoint()
+    f = checkpointed(_store_features(spark, sf))
     train = f.where(F.col("split") == "train")
     models = MO.fit_one_vs_rest(train, LABELS, kind="gbt", max_iter=10)
     counts = stats.class_weights_balanced(train).select("label", "count")
@@ -98,7 +98,7 @@ c AS (SELECT label, sum(CASE WHEN list_contains(coalesce(techniques, []), label)
 SELECT label, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
        CAST(CASE WHEN least(n_pos, n_neg) >= 2 THEN abs(n_pos - n_neg) ELSE 0 END AS BIGINT) AS n_synthetic FROM c""")
 def q_r6(spark, sf):
-    f = _store_features(spark, sf).where(F.col("split") == "train").checkpoint()
+    f = checkpointed(_store_features(spark, sf).where(F.col("split") == "train"))
     rows = []
     for x in LABELS:
         d = f.select("id", F.col("embedding").cast("array<double>").alias("v"),
@@ -111,7 +111,7 @@ def q_r6(spark, sf):
 
 @register("score_and_submit", covers="M7 M8 L10 P16 S12 Q13")
 def q_m7(spark, sf):
-    f = _features(spark, sf).checkpoint()
+    f = checkpointed(_features(spark, sf))
     models = MO.fit_one_vs_rest(f.where(F.col("split") == "train"), LABELS)
     for name, m in models.items():                       # S12: persist models and classes
         if m is not None:

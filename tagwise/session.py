@@ -65,3 +65,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one intermediate table."""
     return f"{shared_dir(spark)}/tagwise/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df):
+    """Reliable checkpoint into the shared folder (cuts lineage; survives executor loss)."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
