@@ -77,7 +77,8 @@ def label_distribution(df: DataFrame) -> DataFrame:
     n_posts = F.max(F.when(F.col("is_post"), F.col("count"))).over(Window.partitionBy())
     out = g.select("is_post", "label", "count", n_posts.alias("n_posts")).where(~F.col("is_post"))
     return out.select("label", _i64(F.col("count")).alias("count"),
-                      _r6(F.col("count") * 100.0 / F.col("n_posts")).alias("percent"))
+                      _r6(F.col("count") * 100.0 / F.col("n_posts")).alias("percent")) \
+              .orderBy(F.desc("count"), "label")                      # O1: count desc, name breaks ties
 
 
 def store_label_stats(store: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def store_label_stats(store: DataFrame) -> DataFrame:
     e = store.select(F.explode("techniques").alias("label"), "manipulative")
     return e.groupBy("label").agg(
         _i64(F.count(F.lit(1))).alias("count"),
-        _i64(F.sum(F.col("manipulative").cast("int"))).alias("manipulative_count"))
+        _i64(F.sum(F.col("manipulative").cast("int"))).alias("manipulative_count")) \
+            .orderBy(F.desc("count"), "label")
 
 
 def store_totals(store: DataFrame) -> DataFrame:

@@ -39,4 +39,4 @@ def as_csv_rows(df: DataFrame) -> DataFrame:
 def label_counts(df: DataFrame) -> DataFrame:
     """Merged synthetic label counts, counted before stringifying (quirk Q10)."""
     return df.select(F.explode("techniques").alias("label")).groupBy("label") \
-             .agg(F.count(F.lit(1)).cast("bigint").alias("count"))
+             .agg(F.count(F.lit(1)).cast("bigint").alias("count")).orderBy(F.desc("count"), "label")

@@ -143,7 +143,7 @@ def q_j2(spark, sf):
     got = fixtures.submitted_ids(spark, sf).select("id").distinct()
     missing = expected.join(got, "id", "left_anti")
     io.write_lines(missing.orderBy("id"), "id", scratch_path(spark, "missing_ids"))
-    return missing
+    return missing.orderBy("id")                                       # O2: sorted id list
 
 
 @register("submission_completeness", covers="G21", sql=with_views("submitted") + """
