@@ -204,3 +204,16 @@ def q_class_weights(spark, sf):
 SELECT kind, value, CAST(row_number() OVER (PARTITION BY kind ORDER BY value) AS BIGINT) AS rank FROM u""")
 def q_label_vocabulary(spark, sf):
     return stats.label_vocabulary(fixtures.posts(spark, sf))
+
+
+@register("chi_square_p_value", covers="G12")
+def q_chi_square_p(spark, sf):
+    """Statistic, dof and p-value (regularised gamma tail on the one aggregated row)."""
+    return stats.chi_square(fixtures.posts(spark, sf), "lang", "manipulative", with_p=True)
+
+
+@register("t_test_p_value", covers="G13")
+def q_t_test_p(spark, sf):
+    """t, dof and the two-sided p-value (regularised incomplete beta on one row)."""
+    p = fixtures.posts(spark, sf)
+    return stats.t_test(p, F.length("content"), F.col("manipulative"), with_p=True)
