@@ -56,3 +56,11 @@ def test_trigger_presence_whole_words(spark):
     out = {r.id: (r.trigger_present_fud, r.trigger_present_cliche, r.trigger_present_euphoria)
            for r in SP.trigger_presence(texts, d, ["fud", "cliche", "euphoria"]).collect()}
     assert out == {"1": (1, 1, 0), "2": (0, 0, 0), "3": (0, 1, 0)}
+
+
+def test_trigger_presence_long_phrase_is_matched(spark):
+    long_phrase = " ".join(f"w{i}" for i in range(12))
+    texts = spark.createDataFrame([("1", "x " + long_phrase + " y"), ("2", long_phrase[3:])], "id string, cleaned string")
+    d = spark.createDataFrame([("1", "fud", long_phrase)], "id string, label string, phrase string")
+    out = {r.id: r.trigger_present_fud for r in SP.trigger_presence(texts, d, ["fud"]).collect()}
+    assert out == {"1": 1, "2": 0}
