@@ -86,3 +86,12 @@ def test_smote_reaches_parity(spark):
     assert new.count() == 4 and {r.y for r in new.collect()} == {1}     # 4 minority + 4 new = 8
     for r in new.collect():
         assert 0.0 <= r.v[0] <= 3.0                                     # interpolated inside the minority
+
+
+def test_knn_with_many_exact_ties(spark):
+    # 20 identical vectors at the same distance: the k smallest ids must win
+    rows = [(f"{i:02d}", [1.0, 0.0]) for i in range(20)] + [("q", [0.0, 0.0])]
+    s = spark.createDataFrame(rows, "id string, embedding array<double>")
+    q = spark.createDataFrame([("q", [0.0, 0.0])], "qid string, qvec array<double>")
+    got = [(r.rank, r.id) for r in V.knn_exact(s, q, k=4).orderBy("rank").collect()]
+    assert got == [(1, "q"), (2, "00"), (3, "01"), (4, "02")]
