@@ -81,7 +81,7 @@ Example Output Format:
 
 Generate the examples now:
 """
-# Chat markers (Gemma-style turns); parameters of chat_render.
+# Chat-template turn markers (defaults of a common open chat format); parameters of chat_render.
 CHAT_BOS = "<bos>"
 CHAT_START = "<start_of_turn>"
 CHAT_END = "<end_of_turn>"
