@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .decontamination import find_leaks
+from .exact_dedup import exact_groups
+from .license_scan import scan_files
+from .mixing import mix
 from .near_dedup import near_duplicates
+from .pii import KINDS, find_pii, fit_pii, span_text
 from .registry import QUERIES, SQL, query, table
+from .sharding import place
+from .substring_dedup import remove_repeats
+from .toxicity import fit_toxicity
+from .url_filter import Rule, judge_urls
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -34,3 +45,112 @@ FROM sets s LEFT JOIN low ON low.x = s.doc_id
 def op9(spark, sf_dir):
     """Links at 100 * intersection >= 80 * union of the 2-word shingle sets."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
+_REPEATS_SQL = r"""
+WITH toks AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\x0C\r]+'), lambda w: w <> '') AS w FROM documents),
+wins AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM toks)),
+dup AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM wins) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM dup),
+lists AS (SELECT doc_id, list(i) AS gone, count(*) AS c FROM gone GROUP BY 1)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN c IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM toks t LEFT JOIN lists l ON l.doc_id = t.doc_id
+"""
+
+
+@query("op8_rlz_substring_dedup", _REPEATS_SQL)
+def op8(spark, sf_dir):
+    """Words under 20-word windows that also start earlier are removed."""
+    return remove_repeats(table(spark, sf_dir, "documents"), length=20).drop("kept_text")
+
+
+_EXACT_SQL = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[ \t\n\x0B\x0C\r]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY points DESC, doc_id) AS kept, sha256(norm) AS text_sha256
+FROM n
+"""
+
+
+@query("op6_extendible_hash_exact_dedup", _EXACT_SQL)
+def op6(spark, sf_dir):
+    """One row per document with the row that stays for its text."""
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def held_out(doc_id="doc_id"):
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+@query("op5_clause_grammar_toxicity")
+def op5(spark, sf_dir):
+    """Every document scored; the fifth of the labels named by the id's CRC is never seen."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return docs.select("doc_id", held_out().alias("held_out"), model.score(F.col("text")).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op7_string_tiling_decontamination")
+def op7(spark, sf_dir):
+    """Every document and benchmark item whose tiles cover half of the item or more."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The target shares of the languages' tokens.
+LANGUAGE_WEIGHTS = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def language_mix(docs, sf_dir, weights=LANGUAGE_WEIGHTS):
+    """Domains are languages; the documents of the table of labels teach them."""
+    known = table(docs.sparkSession, sf_dir, "labels").select("doc_id").distinct().join(
+        table(docs.sparkSession, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return mix(docs, known, weights, "lang")
+
+
+@query("op4_soft_membership_mixing")
+def op4(spark, sf_dir):
+    """Every document's posterior over the languages, rate and copies for the target weights."""
+    docs = table(spark, sf_dir, "documents")
+    fitted = language_mix(docs, sf_dir)
+    return fitted.rates(docs).select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(fitted.model.domains)], "rate", "copies")
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+@query("op2_permutation_table_sharding")
+def op2(spark, sf_dir):
+    """Every document's slot and shard among 64 shards."""
+    return place(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), SHARDS)
+
+
+@query("op3_boosted_candidate_pii")
+def op3(spark, sf_dir):
+    """Base spans of each kind, and all spans with those that the trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_pii(docs, fit_pii(docs))
+    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return found.select("doc_id", *[count(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"))
+
+
+RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
+
+
+@query("op1_host_segmentation_url_filter")
+def op1(spark, sf_dir):
+    """Every page's url judged by the rules, else by its words."""
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op10_tfidf_license_scan")
+def op10(spark, sf_dir):
+    """Every document as a file of its source's and language's directory."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_files(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
