@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .graph import stored
 from .words import hash_words, row_slices, text_buffer
@@ -41,7 +42,7 @@ class DomainModel:
         """The columns of ``docs`` (the text only if asked for) with ``_tokens`` and ``_p``, the
         posteriors in the order of ``domains``. A text without words has the prior."""
         others = [c for c in docs.columns if c != text_col or keep_text]
-        schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add("_tokens", "long").add("_p", "array<double>")
+        schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add("_tokens", "long").add("_p", T.ArrayType(T.DoubleType()))
         shared = docs.sparkSession.sparkContext.broadcast((self.prior, self.words))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,8 +64,9 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 
 def word_counts(texts: DataFrame, text_col: str, max_words: int = 50_000) -> dict[str, int]:
     """The ``max_words`` most frequent lower-case words of two letters and more in all rows'
-    whole texts, tags left out (the lexicon's documented bound)."""
+    whole texts, tags and host names left out (the lexicon's documented bound)."""
     plain = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "<[^>]*>", " ")
+    plain = F.regexp_replace(plain, r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", " ")
     words = texts.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
     rows = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(max_words).collect()
     return {r.w: r.n for r in rows}
