@@ -3,14 +3,16 @@
 The distinct word shingles of a text are sampled by ``SAMPLES`` hash functions. The
 samples serve twice: cut into bands they name the buckets in which texts meet, and
 folded into a parity bitmap they give an odd sketch, whose XOR population count
-estimates a high similarity from 64 bytes. Pairs that the sketch cannot rule out are
-confirmed on the full shingle sets of the whole texts.
+estimates a high similarity from 64 bytes. A second, wider parity bitmap folds every
+shingle: its XOR count never exceeds the number of shingles in which two texts differ,
+so a count beyond what the threshold allows rules a pair out for certain. What the
+sketches leave is confirmed on the full shingle sets of the whole texts.
 
 Texts with one shingle set are one class from the start. Within a bucket, no pairs are
-listed: members are held against one pivot, classes that join become one label, and a
-bucket counts again only while it holds several labels. What the pivots leave open is
-then searched in full under the sketch condition, so the pivots save work and drop
-nothing.
+listed: in each turn a class is held against a few pivots of its buckets, classes that
+join get one label, and a bucket counts again only while it holds several labels. When
+the pivots find no more, the pairs of different labels that the wide sketch cannot rule
+out are confirmed too, so the pivots save work and drop nothing.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components, stored
 from .words import hash_words, mix64, row_slices, seeds, signed, text_buffer, window_hashes
 
-SAMPLES, ROWS, BITS = 128, 4, 512
+SAMPLES, ROWS, BITS, WIDE_BITS = 128, 4, 512, 2048
 #: A pair at the threshold is ruled out by its sketch if the estimate is this many deviations low.
 SIGMAS = 5.0
-PIVOT_TURNS = 3
+#: Pivots that a class is held against in one turn; turns go on while they find links.
+PIVOTS = 8
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int, lower: bool) -> list[np.ndarray]:
@@ -54,7 +57,7 @@ def sketch_limit(threshold: float) -> int:
 
 _FEATURES = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("k1", T.LongType()),
                           T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())),
-                          T.StructField("sketch", T.ArrayType(T.LongType()))])
+                          T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("wide", T.ArrayType(T.LongType()))])
 
 
 def _featurise(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
@@ -68,11 +71,14 @@ def _featurise(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterat
             full = np.flatnonzero(n)
             keys = np.zeros((b - a, 2), np.uint64)
             bands = np.zeros((b - a, SAMPLES // ROWS), np.uint64)
-            sketch = np.zeros((b - a, BITS // 64), np.uint64)
+            sketch, wide = np.zeros((b - a, BITS // 64), np.uint64), np.zeros((b - a, WIDE_BITS // 64), np.uint64)
             if len(full):
                 every = np.concatenate([sets[i] for i in full])
                 at = np.append(0, np.cumsum(n[full])[:-1])
                 keys[full, 0], keys[full, 1] = np.add.reduceat(every, at), np.add.reduceat(mix64(every), at)
+                row = np.repeat(np.arange(len(full)), n[full])
+                odd = np.bincount(row * WIDE_BITS + (every >> np.uint64(20)).astype(np.int64) % WIDE_BITS, minlength=len(full) * WIDE_BITS) & 1
+                wide[full] = np.packbits(odd.astype(bool).reshape(len(full), -1), axis=1).view(np.uint64)
                 band = np.zeros(len(full), np.uint64)
                 for i in range(SAMPLES):
                     low = np.minimum.reduceat(every * mult[i], at)
@@ -84,7 +90,7 @@ def _featurise(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterat
                         band = np.zeros(len(full), np.uint64)
             listed = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(signed(m.reshape(-1))))
             yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(signed(keys[:, 0].copy())),
-                                              pa.array(signed(keys[:, 1].copy())), listed(bands), listed(sketch)], names=_FEATURES.names)
+                                              pa.array(signed(keys[:, 1].copy())), listed(bands), listed(sketch), listed(wide)], names=_FEATURES.names)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], k: int, lower: bool, percent: int) -> Iterator[pa.RecordBatch]:
@@ -115,34 +121,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     features = stored(texts.mapInArrow(lambda it: _featurise(it, shingle_words, lower), _FEATURES), "features")
     groups = stored(features.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")), "groups")
     reps = stored(features.where("n > 0").join(groups.withColumnRenamed("rep", "id"), ["id", "k1", "k2", "n"], "left_semi")
-                  .dropDuplicates(["id", "k1", "k2"]).select("id", "n", "bands", "sketch"), "classes")
+                  .dropDuplicates(["id", "k1", "k2"]).select("id", "n", "bands", "sketch", "wide"), "classes")
 
     exploded = reps.select(F.explode("bands").alias("key"), "id")
-    shared = exploded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key", "low")
-    members = stored(exploded.join(shared, "key"), "members")
-    confirm = _Confirm(texts, members, reps, shingle_words, lower, percent)
-
-    # First, every class is held against the pivot that it meets in most buckets.
-    edges = confirm(members.where("id <> low").groupBy("id", "low").agg(F.count("*").alias("c"))
-                    .groupBy("id").agg(F.max_by("low", F.struct("c", -F.col("low"))).alias("b")).select(F.col("id").alias("a"), "b"))
-    labels = components(edges)
-    # Then buckets of several labels get further pivots.
-    for turn in range(PIVOT_TURNS):
-        members = _open_members(members, labels)
+    shared = exploded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
+    members = stored(exploded.join(shared, "key").withColumn("label", F.col("id")), "members")
+    labels = stored(members.select("id", F.col("id").alias("label")).distinct(), "labels")
+    confirm = _Confirm(texts, labels, reps, shingle_words, lower, percent)
+
+    turn = 0
+    while True:
         pivots = members.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("p"))
-        found = confirm(members.join(pivots, "key").where("label <> p.label").select(F.col("id").alias("a"), F.col("p.id").alias("b")).distinct())
-        if found.limit(1).count():
-            edges = edges.unionByName(found)
-            labels = components(edges)
-    # What is left: each pair of different labels in one bucket that the sketches cannot rule out.
-    members = stored(_open_members(members, labels).join(reps.select("id", "n", "sketch"), "id"), "left")
-    a, b = (members.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "sketch")]) for s in "ab")
-    found = confirm(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & _possible(percent))
-                    .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+        often = members.join(pivots, "key").where("label <> p.label").groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count("*").alias("c"))
+        # A class lies in as many buckets as there are bands, so its window is as short.
+        place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+        found = confirm(often.withColumn("place", place).where(F.col("place") <= PIVOTS).select("a", "b"))
+        if not found.limit(1).count():
+            break
+        labels = _joined(labels, found)
+        members = _open_members(members, labels)
+        turn += 1
+    # What is left: pairs of different labels in one bucket that the wide sketches cannot rule out.
+    side = members.join(reps.select("id", "n", "wide"), "id")
+    a, b = (side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "wide")]) for s in "ab")
+    found = confirm(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & _not_ruled_out(percent))
+                    .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), checked=True)
     if found.limit(1).count():
-        labels = components(edges.unionByName(found))
+        labels = _joined(labels, found)
 
-    linked = (groups.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    linked = (groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
               .select("k1", "k2", "n", F.coalesce("label", "rep").alias("component_id")))
     out = features.select("id", "n", "k1", "k2").join(linked, ["k1", "k2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
@@ -150,34 +157,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (id, label)`` after the labels at the ends of the links have become one."""
+    for s in "ab":
+        links = links.join(labels.select(F.col("id").alias(s), F.col("label").alias(f"label_{s}")), s)
+    merged = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    return stored(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
+                  .select("id", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that hold several labels, with their labels."""
-    named = (members.select("key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left")
-             .select("key", "id", F.coalesce("label", "id").alias("label")))
+    named = stored(members.select("key", "id").join(labels, "id"), "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     return stored(named.join(mixed, "key", "left_semi"), "members")
 
 
+def _differing(a: str, b: str, bits: int):
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(bits // 64)), F.lit(0))
+
+
 def _possible(percent: int):
-    """The sizes and sketches (``n_a, sketch_a, n_b, sketch_b``) do not rule the pair out."""
-    bits = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    """The sizes and odd sketches (``n_a, sketch_a, n_b, sketch_b``) do not rule the pair out."""
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return sizes & (bits <= sketch_limit(percent / 100))
+    return sizes & (_differing("sketch_a", "sketch_b", BITS) <= sketch_limit(percent / 100))
+
+
+def _not_ruled_out(percent: int):
+    """Intersection over union of ``percent`` allows (100 - percent) / (100 + percent) of the sizes' sum to differ."""
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return sizes & ((100 + percent) * _differing("wide_a", "wide_b", WIDE_BITS) <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
 class _Confirm:
     """Keeps the pairs ``(a, b)`` that the sketches allow and the whole texts confirm."""
 
-    def __init__(self, texts: DataFrame, members: DataFrame, reps: DataFrame, k: int, lower: bool, percent: int):
-        self.texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+    def __init__(self, texts: DataFrame, labels: DataFrame, reps: DataFrame, k: int, lower: bool, percent: int):
+        self.texts = stored(texts.join(labels.select("id"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
         self.reps, self.k, self.lower, self.percent = reps, k, lower, percent
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
+    def __call__(self, pairs: DataFrame, checked: bool = False) -> DataFrame:
         k, lower, percent = self.k, self.lower, self.percent
-        for s in "ab":
-            side = self.reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-            pairs = pairs.join(side, s)
-        pairs = pairs.where(_possible(percent)).select("a", "b").distinct()
+        if not checked:
+            for s in "ab":
+                pairs = pairs.join(self.reps.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"),
+                                                    F.col("wide").alias(f"wide_{s}")), s)
+            pairs = pairs.where(_possible(percent) & _not_ruled_out(percent)).select("a", "b").distinct()
         for s in "ab":
             pairs = pairs.join(self.texts.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")), s)
         ok = pairs.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _confirmed(it, k, lower, percent), "a long, b long")

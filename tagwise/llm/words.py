@@ -63,12 +63,12 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offs[0]:offs[-1]], offs - offs[0]
 
 
-def row_slices(offs: np.ndarray, most: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes (a longer row stands alone)."""
+def row_slices(offs: np.ndarray, most: int = PIECE, rows: int = 2048) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes (a longer row stands alone) and ``rows`` rows."""
     a, n = 0, len(offs) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
-        yield a, min(b, n)
+        b = min(n, a + rows, max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1))
+        yield a, b
         a = b
 
 
