@@ -63,7 +63,7 @@ def stratified_split(df: DataFrame, stratum: str, test_fraction: float = 0.2, se
     cells = cells.withColumn("_k", F.ceil(F.col("_n") * F.lit(test_fraction)).cast("bigint"))
     cut1 = (cells.where((F.col("_cum") >= F.col("_k")) & (F.col("_cum") - F.col("_c") < F.col("_k")))
                  .select(stratum, F.col("_b").alias("_cb"), (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_r")))
-    in_cell = keys.join(cut1, stratum).where(F.col("_b") == F.col("_cb"))
+    in_cell = keys.join(F.broadcast(cut1), stratum).where(F.col("_b") == F.col("_cb"))
     per_hash = in_cell.groupBy(stratum, "_h", "_r").agg(
         F.count(F.lit(1)).alias("_c"), F.array_sort(F.collect_list("_id")).alias("_ids"))
     w2 = Window.partitionBy(stratum).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,7 +72,7 @@ def stratified_split(df: DataFrame, stratum: str, test_fraction: float = 0.2, se
                    .select(stratum, F.col("_h").alias("_ch"),
                            F.element_at("_ids", (F.col("_r") - (F.col("_cum") - F.col("_c"))).cast("int"))
                            .alias("_cid")))
-    j = base.join(cut, stratum, "left")
+    j = base.join(F.broadcast(cut), stratum, "left")                # one row per stratum
     rid = F.col(id_col).cast("string")
     is_test = (F.col("_h") < F.col("_ch")) | ((F.col("_h") == F.col("_ch")) & (rid <= F.col("_cid")))
     out = j.withColumn("split", F.when(F.coalesce(is_test, F.lit(False)), "test").otherwise("train"))

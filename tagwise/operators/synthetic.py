@@ -16,7 +16,8 @@ SYNTHETIC = T.StructType([T.StructField("content", T.StringType()), T.StructFiel
 def compose(spark: SparkSession, pattern: str) -> DataFrame:
     """Read every file of the glob (one job), strip outer quotes, language from
     the file name corrected by the letters of the content, labels from the quoted
-    tokens, every row manipulative with no triggers and a new id. A row whose
+    tokens, every row manipulative with no triggers and a new id (a hash of file name and content,
+    so that it is the same when a task runs again). A row whose
     content is not text is set aside on its own (quirk Q20), not its whole file."""
     raw = io.read_csv_files(spark, pattern, SYNTHETIC)
     file_lang = TX.language_from_filename(F.element_at(F.split("source_file", "/"), -1))
@@ -25,7 +26,7 @@ def compose(spark: SparkSession, pattern: str) -> DataFrame:
     labels = F.when(F.trim(F.col("techniques")) == "[]", F.array().cast("array<string>")) \
               .otherwise(LF.labels_quoted_or_single(F.col("techniques")))
     return raw.where(F.col("content").isNotNull()).select(
-        F.expr("uuid()").alias("id"), content.alias("content"),
+        F.md5(F.concat_ws(":", F.element_at(F.split("source_file", "/"), -1), F.col("content"))).alias("id"), content.alias("content"),
         TX.repaired_language(file_lang, content).alias("lang"), F.lit(True).alias("manipulative"),
         labels.alias("techniques"), F.array().cast("array<array<int>>").alias("trigger_words"),
         F.col("source_file"))

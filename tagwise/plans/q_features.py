@@ -50,8 +50,8 @@ def _vocab(spark, sf):
 SELECT id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct,
        CAST(sum({duck_md5_u32('term')}) AS BIGINT) AS checksum FROM g GROUP BY id""")
 def q_tf1(spark, sf):
-    # n-grams per distinct word, joined back to (doc, word) counts
-    t = FE.doc_term_counts(_docs(spark, sf), "cleaned").groupBy("id", "term").agg(F.sum("n").alias("n"))
+    # n-grams of a row, counted where they are made: documents without any have no row
+    t = FE.doc_grams(_docs(spark, sf), "cleaned").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
     return t.groupBy("id").agg(F.sum("n").cast("bigint").alias("n_grams"),
                                F.count(F.lit(1)).cast("bigint").alias("n_distinct"),
                                F.sum(md5_u32(F.col("term")) * F.col("n")).cast("bigint").alias("checksum"))

@@ -50,7 +50,6 @@ def _tuned_metrics(spark, sf, kind: str):
     f = checkpointed(_features(spark, sf))
     models = MO.fit_one_vs_rest(f.where(F.col("split") == "train"), LABELS, kind=kind)
     scores = MO.score_long(models, f.where(F.col("split") != "train"), LABELS, kind=kind)
-    scores = scores.join(f.select("id", "split"), "id")
     if kind == "svm":
         tst = scores.where(F.col("split") == "test").withColumn("p", (F.col("score") > 0).cast("int"))
     else:
@@ -81,7 +80,7 @@ def q_m4(spark, sf):
     # 10% of the training rows (by hash) are the early-stopping validation set
     train = f.where(F.col("split") == "train").withColumn(
         "is_val", seeded_bucket(F.col("id"), 7) < 10)
-    models = MO.fit_one_vs_rest(train, LABELS, kind="gbt", max_iter=30, validation_col="is_val")
+    models = MO.fit_one_vs_rest(train, LABELS, kind="gbt", validation_col="is_val")
     counts = stats.class_weights_balanced(train).select("label", "count")
     thr = ME.rarity_thresholds(counts)
     scores = MO.score_long(models, f.where(F.col("split") == "test"), LABELS)
@@ -118,7 +117,7 @@ def q_m7(spark, sf):
     for name, m in models.items():                       # S12: persist models and classes
         if m is not None:
             io.save_model(m, scratch_path(spark, f"model_{name}"), LABELS, spark)
-    scores = MO.score_long(models, f, LABELS).join(f.select("id", "split"), "id")
+    scores = MO.score_long(models, f, LABELS)
     best = ME.best_threshold(ME.threshold_sweep(scores.where(F.col("split") == "val")))
     pred = ME.apply_thresholds(scores, best).where(F.col("p") == 1)
     labels = pred.groupBy("id").agg(F.array_sort(F.collect_list("label")).alias("labels"))

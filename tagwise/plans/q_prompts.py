@@ -9,6 +9,7 @@ from ..functions.hashing import duck_md5_u32, md5_u32
 from ..operators import prompts as PR
 from ..operators import vectors as V
 from ..sources import fixtures, tables
+from .q_vectors import query_posts
 from .registry import register
 from .sqlviews import with_views
 from ..vocab import sql_str
@@ -45,7 +46,8 @@ def _fmt4(c):
 KNN10 = with_views("store", extra=[
     ("pairs", "SELECT a.id AS qid, b.id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), "
               "CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS l2_sq "
-              "FROM store a, store b WHERE len(a.embedding) > 0 AND len(b.embedding) > 0"),
+              "FROM store a, store b WHERE len(a.embedding) > 0 AND len(b.embedding) > 0 "
+              "AND CAST(a.id AS BIGINT) % 100 = 0 AND a.id <> b.id"),
     ("knn", "SELECT qid, rank, id, l2_sq FROM (SELECT *, row_number() OVER "
             "(PARTITION BY qid ORDER BY l2_sq, id) AS rank FROM pairs) WHERE rank <= 10"),
     ("blocks", "SELECT k.qid, string_agg(printf(" + sql_str("\n%d. Text: %s...\nTechniques: %s\nManipulative: %s\nSimilarity score: %s\n")
@@ -56,10 +58,11 @@ KNN10 = with_views("store", extra=[
 
 @register("retrieval_prompt", covers="T1 P8 J4 J6 W1", sql=KNN10 + "SELECT s.id AS qid, " + _fill_sql(
     PR.RETRIEVAL_TEMPLATE, query_text="s.original_text", similar_texts_section="coalesce(b.section, '')")
-    + " AS prompt FROM store s LEFT JOIN blocks b ON s.id = b.qid WHERE len(s.embedding) > 0")
+    + " AS prompt FROM store s LEFT JOIN blocks b ON s.id = b.qid WHERE len(s.embedding) > 0 AND CAST(s.id AS BIGINT) % 100 = 0")
 def q_t1(spark, sf):
     s = _store(spark, sf)
-    hits = V.knn_exact(s, s.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec")), k=10)
+    asked = query_posts(s)
+    hits = V.knn_exact(s, asked.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec")), k=10, exclude_self=True)
     docs = s.select("id", "original_text", "techniques", "manipulative")
     h = hits.join(docs, "id").withColumn("l2_sq", _fmt4(F.col("l2_sq")))
     block_fmt = PR.NEIGHBOUR_BLOCK.replace("%.4f", "%s")
@@ -69,7 +72,7 @@ def q_t1(spark, sf):
         F.when(F.col("manipulative"), F.lit("True")).otherwise(F.lit("False")), F.col("l2_sq")).alias("b"))
     sections = blocks.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "b"))).alias("bs")) \
                      .select("qid", F.array_join(F.transform("bs", lambda x: x["b"]), "").alias("section"))
-    queries = s.select(F.col("id").alias("qid"), F.col("original_text").alias("query_text"))
+    queries = asked.select(F.col("id").alias("qid"), F.col("original_text").alias("query_text"))
     return PR.retrieval_prompt(queries, sections)
 
 

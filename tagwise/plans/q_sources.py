@@ -142,8 +142,9 @@ def q_j2(spark, sf):
     expected = fixtures.posts(spark, sf).select("id").distinct()
     got = fixtures.submitted_ids(spark, sf).select("id").distinct()
     missing = expected.join(got, "id", "left_anti")
-    io.write_lines(missing.orderBy("id"), "id", scratch_path(spark, "missing_ids"))
-    return missing.orderBy("id")                                       # O2: sorted id list
+    path = scratch_path(spark, "missing_ids")
+    io.write_lines(missing, "id", path)
+    return spark.read.text(path).select(F.col("value").alias("id")).orderBy("id")     # O2: sorted id list
 
 
 @register("submission_completeness", covers="G21", sql=with_views("submitted") + """

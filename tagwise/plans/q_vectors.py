@@ -30,10 +30,15 @@ def q_s9(spark, sf):
                     F.coalesce(F.col("manipulative").cast("boolean"), F.lit(False)).alias("manipulative"))
 
 
+def query_posts(s):
+    """The posts searched with: every id divisible by 100. Each is sought among all others."""
+    return s.where(F.col("id").cast("bigint") % 100 == 0)
+
+
 def _knn(spark, sf, k=5):
     s = _store(spark, sf)
-    q = s.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
-    return V.knn_exact(s, q, k=k)
+    q = query_posts(s).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    return V.knn_exact(s, q, k=k, exclude_self=True)
 
 
 SQ = ("sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), "
@@ -41,7 +46,8 @@ SQ = ("sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embeddi
 KNN = with_views("store", extra=[
     ("pairs", "SELECT a.id AS qid, b.id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), "
               "CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS l2_sq "
-              "FROM store a, store b WHERE len(a.embedding) > 0 AND len(b.embedding) > 0"),
+              "FROM store a, store b WHERE len(a.embedding) > 0 AND len(b.embedding) > 0 "
+              "AND CAST(a.id AS BIGINT) % 100 = 0 AND a.id <> b.id"),
     ("knn", "SELECT qid, CAST(rank AS INTEGER) AS rank, id, l2_sq FROM (SELECT *, row_number() OVER "
             "(PARTITION BY qid ORDER BY l2_sq, id) AS rank FROM pairs) WHERE rank <= 5")])
 
@@ -60,7 +66,7 @@ def q_j6(spark, sf):
 @register("knn_lsh_recall", covers="J6")
 def q_lsh(spark, sf):
     s = _store(spark, sf)
-    q = s.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    q = query_posts(s).select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
     return V.recall_at_k(V.knn_exact(s, q, k=5), V.knn_lsh(s, q, k=5, radius=1.3))
 
 

@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Number of partitions that text scans are dealt to; unset on a cluster, where files give the splits.
+SCAN_PARTITIONS = "spark.tagwise.scanPartitions"
+
 _LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -27,7 +30,9 @@ _LOCAL_CONF = {
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tagwise",
                   driver_memory: str = "16g") -> SparkSession:
+    many = 2 * (os.cpu_count() or 4) if cores == "*" else 2 * int(cores)
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
+               .config(SCAN_PARTITIONS, str(many))
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", driver_memory))
     for k, v in _LOCAL_CONF.items():
@@ -41,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) when set;
-    otherwise, as in tests, picks one and registers it as the checkpoint dir.
+    otherwise, in local mode (tests), picks one and registers it as the checkpoint dir.
     """
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None)
@@ -55,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
         if cp:
             d = os.path.dirname(cp.rstrip("/"))
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tagwise-shared-")
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
@@ -62,6 +69,12 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists in the path's own file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one intermediate table."""
     return f"{shared_dir(spark)}/tagwise/{name}-{uuid.uuid4().hex[:12]}"

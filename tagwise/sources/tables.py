@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import SCAN_PARTITIONS
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -29,15 +31,11 @@ TEXT_TABLES = ("documents", "conversations", "pages")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a text scan over the cluster when it arrives in fewer splits than there
-    are cores (e.g. one parquet row group): per-row text work is CPU-bound and
-    otherwise runs in one task. With many input splits (the large-data case) this
-    is a no-op, so it never adds a shuffle to a big scan."""
-    sc = df.sparkSession.sparkContext
-    target = 2 * sc.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    """Deal a text scan to the number of partitions that the session asks for, whatever the
+    size of the input. The local session does, as a test table is one row group and
+    its text work would run in one task; a cluster's session does not."""
+    n = df.sparkSession.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
