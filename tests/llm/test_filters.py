@@ -188,8 +188,8 @@ def test_toxicity_learns_unknown_stems_held_out(spark):
         rows.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = fit_toxicity(docs, marks.where("doc_id % 3 <> 0"))
-    got = docs.where("doc_id % 3 = 0").withColumn("s", model.score(F.col("text"))).collect()
+    model = fit_toxicity(docs, marks.where("doc_id % 5 <> 0"))
+    got = docs.where("doc_id % 5 = 0").withColumn("s", model.score(F.col("text"))).collect()
     assert sum((x.s >= 0.5) == (x.doc_id % 6 == 0) for x in got) >= 0.97 * len(got)
 
 
@@ -216,7 +216,7 @@ def brute_url(url):
 
 def test_url_parts_rules_and_verdicts(spark):
     urls = ["http://A.Example.NET/en/1?x", "https://example.com/de/", "http://example.com/de", "x://b.org/fr/#a", "http://net/", "http://internet/", "nothing", None, "", "://", "a://b?c/d",
-            "http://É.net/x\ny?z", "http://u@h:8/p://q", "https://cheap-pills.example.org/a", "https://cheappills.org/a", "http://word.org/casino/1", "http://word.org/1"] + ["http://good.word.org/en/"] * 40
+            "http://É.net/x\ny?z", "http://u@h:8/p://q", "https://cheap-pills.example.org/a", "https://cheappills.org/a", "http://word.org/casino/1", "http://word.org/1"] + ["http://good.word.org/en/"] * 40 + ["http://other.org/casino/2"] * 4
     html = "<p>cheap good word pills word internet</p> www.cheappills.org"
     df = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
     got = {r.page_id: r for r in judge_urls(df, RULES).collect()}
