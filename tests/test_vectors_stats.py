@@ -13,7 +13,7 @@ from tagwise.sources import fixtures
 
 
 def test_chunking_budget_and_edges():
-    assert V.chunk_words("", 10) == []
+    assert V.chunk_words("", 10) == V.chunk_words(None, 10) == V.chunk_words(" \n", 10) == [""]    # no document is lost
     long = "x" * 100
     assert V.chunk_words(f"a {long} b", 5) == ["a", long, "b"]       # over-long word alone, no empty chunk
     words = " ".join(f"w{i}" for i in range(50))
@@ -27,6 +27,17 @@ def test_encoder_is_deterministic_and_unit():
     assert np.allclose(a, b) and abs(np.linalg.norm(a) - 1.0) < 1e-12
 
 
+def test_knn_tiles_and_leaves_out_the_query(spark, sf, monkeypatch):
+    s = fixtures.store(spark, sf).select("id", "embedding")
+    q = s.where("CAST(id AS INT) % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    whole = {tuple(r) for r in V.knn_exact(s, q, k=4, exclude_self=True).collect()}
+    monkeypatch.setattr(V, "TILE_BYTES", 4000)
+    assert {tuple(r) for r in V.knn_exact(s, q, k=4, exclude_self=True).collect()} == whole
+    assert len(whole) == 4 * q.count() and all(qid != i for qid, _, i, _ in whole)
+    full = {(r.qid, r.id) for r in V.knn_exact(s, q, k=5).collect()}
+    assert {(a, b) for a, b in full if a != b} == {(a, c) for a, _, c, _ in whole}
+
+
 def test_knn_matches_brute_force(spark, sf):
     s = fixtures.store(spark, sf).select("id", "embedding")
     q = s.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
