@@ -11,8 +11,8 @@ sketches leave is confirmed on the full shingle sets of the whole texts.
 Texts with one shingle set are one class from the start. Within a bucket, no pairs are
 listed: in each turn a class is held against a few pivots of its buckets, classes that
 join get one label, and a bucket counts again only while it holds several labels. When
-the pivots find no more, the pairs of different labels that the wide sketch cannot rule
-out are confirmed too, so the pivots save work and drop nothing.
+the pivots no longer close half of what is open, the pairs of different labels that the
+wide sketch cannot rule out are confirmed too: the pivots save work and drop nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .words import hash_words, mix64, row_slices, seeds, signed, text_buffer, wi
 SAMPLES, ROWS, BITS, WIDE_BITS = 128, 4, 512, 2048
 #: A pair at the threshold is ruled out by its sketch if the estimate is this many deviations low.
 SIGMAS = 5.0
-#: Pivots that a class is held against in one turn; turns go on while they find links.
+#: Pivots that a class is held against in one turn.
 PIVOTS = 8
 
 
@@ -129,8 +129,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = stored(members.select("id", F.col("id").alias("label")).distinct(), "labels")
     confirm = _Confirm(texts, labels, reps, shingle_words, lower, percent)
 
-    turn = 0
-    while True:
+    turn, open_before = 0, math.inf
+    # Turns go on while they at least halve the open members; the step after them is complete in any case.
+    while (still_open := members.count()) and 2 * still_open <= open_before:
+        open_before = still_open
         pivots = members.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("p"))
         often = members.join(pivots, "key").where("label <> p.label").groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count("*").alias("c"))
         # A class lies in as many buckets as there are bands, so its window is as short.
