@@ -123,18 +123,19 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     take no part; rows that repeat an id count as one document at the same places."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     blocks = texts.mapInArrow(lambda it: _emit_blocks(it, length), "seed long, block long, id long, at int, windows int")
-    repeated = blocks.select("seed").groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
+    # The counted keys are written before they are joined, so that Spark can split a hot seed's side of the join.
+    repeated = stored(blocks.select("seed").groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed"), "seeds")
     hits = stored(blocks.join(repeated, "seed"), "hits")
 
     firsts = stored(hits.groupBy("seed", "block").agg(F.min(F.struct("id", "at", "windows")).alias("f"), F.count("*").alias("c")), "firsts")
     whole = (hits.join(firsts.where("c > 1").select("block", "seed", "f"), ["block", "seed"])
              .where("id > f.id OR (id = f.id AND at > f.at)").select("id", "at", F.expr(f"at + windows + {length - 1}").alias("stop")))
 
-    several = firsts.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed")
+    several = stored(firsts.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").select("seed"), "several")
     bounds = firsts.join(several, "seed").groupBy("f.id").agg(F.collect_list(F.struct("f.at", "f.windows")).alias("blocks"))
     windows = stored(texts.join(bounds, "id").select("id", "text", "blocks")
                      .mapInArrow(lambda it: _emit_windows(it, length), "window long, id long, at int"), "windows")
-    earliest = windows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("window", "f")
+    earliest = stored(windows.groupBy("window").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("c")).where("c > 1").select("window", "f"), "earliest")
     single = (windows.join(earliest, "window").where("id > f.id OR (id = f.id AND at > f.at)")
               .select("id", "at", F.expr(f"at + {length}").alias("stop")))
     return whole.unionByName(single).groupBy("id").agg(F.collect_list(F.struct("at", "stop")).alias("spans"))
