@@ -63,11 +63,6 @@ def strip_quotes(c: Column) -> Column:
     return F.regexp_replace(c, r'^"+|"+$', "")
 
 
-def preview(c: Column, n: int = 200) -> Column:
-    """First n characters followed by '...'."""
-    return F.concat(F.substring(c, 1, n), F.lit("..."))
-
-
 def count_chars(c: Column, chars: str) -> Column:
     """Occurrences of any of ``chars`` in c (length minus length with them removed)."""
     return F.length(c) - F.length(F.translate(c, chars, ""))

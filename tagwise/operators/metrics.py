@@ -89,7 +89,7 @@ def _samples(long: DataFrame) -> DataFrame:
 
 
 def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row frames side by side (a join on a constant key, not a product)."""
+    """Two one-row frames side by side: a product of one row with one."""
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
@@ -218,7 +218,3 @@ def prediction_detail(long_scores: DataFrame, texts: DataFrame, threshold: float
     return long_scores.join(prev, "id").select(
         "id", "label", "preview", "y", _r6(F.col("score")).alias("score"),
         (F.col("score") > threshold).cast("int").alias("predicted"))
-
-
-def nan_safe(x: float) -> float:
-    return 0.0 if x is None or math.isnan(x) else x

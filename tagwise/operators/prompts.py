@@ -134,10 +134,11 @@ def messages_json(pairs: list[tuple[str, Column]]) -> Column:
 def neighbour_blocks(hits: DataFrame) -> DataFrame:
     """(qid, section): numbered neighbour blocks in rank order. ``hits`` has
     qid, rank, original_text, techniques, manipulative, l2_sq (k rows per qid)."""
-    block = F.format_string(NEIGHBOUR_BLOCK, F.col("rank"), F.substring("original_text", 1, 200),
+    # '%.4f' as Python rounds it: half to even on the exact value
+    score = F.bround("l2_sq", 4).cast("decimal(38,4)").cast("string")
+    block = F.format_string(NEIGHBOUR_BLOCK.replace("%.4f", "%s"), F.col("rank"), F.substring("original_text", 1, 200),
                             F.array_join(F.coalesce("techniques", F.array().cast("array<string>")), ", "),
-                            F.when(F.col("manipulative"), F.lit("True")).otherwise(F.lit("False")),
-                            F.col("l2_sq"))
+                            F.when(F.col("manipulative"), F.lit("True")).otherwise(F.lit("False")), score)
     g = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))).alias("bs"))
     return g.select("qid", F.array_join(F.transform("bs", lambda x: x["b"]), "").alias("section"))
 

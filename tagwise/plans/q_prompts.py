@@ -38,11 +38,6 @@ def _store(spark, sf):
     return fixtures.store(spark, sf).where(F.size("embedding") > 0)
 
 
-def _fmt4(c):
-    """Python '%.4f' (round half to even on the exact value)."""
-    return F.bround(c, 4).cast("decimal(38,4)").cast("string")
-
-
 KNN10 = with_views("store", extra=[
     ("pairs", "SELECT a.id AS qid, b.id AS id, list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), "
               "CAST(b.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS l2_sq "
@@ -64,14 +59,7 @@ def q_t1(spark, sf):
     asked = query_posts(s)
     hits = V.knn_exact(s, asked.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec")), k=10, exclude_self=True)
     docs = s.select("id", "original_text", "techniques", "manipulative")
-    h = hits.join(docs, "id").withColumn("l2_sq", _fmt4(F.col("l2_sq")))
-    block_fmt = PR.NEIGHBOUR_BLOCK.replace("%.4f", "%s")
-    blocks = h.select("qid", "rank", F.format_string(
-        block_fmt, F.col("rank"), F.substring("original_text", 1, 200),
-        F.array_join(F.coalesce("techniques", F.array().cast("array<string>")), ", "),
-        F.when(F.col("manipulative"), F.lit("True")).otherwise(F.lit("False")), F.col("l2_sq")).alias("b"))
-    sections = blocks.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "b"))).alias("bs")) \
-                     .select("qid", F.array_join(F.transform("bs", lambda x: x["b"]), "").alias("section"))
+    sections = PR.neighbour_blocks(hits.join(docs, "id"))
     queries = asked.select(F.col("id").alias("qid"), F.col("original_text").alias("query_text"))
     return PR.retrieval_prompt(queries, sections)
 

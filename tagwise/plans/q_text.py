@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..sources import fixtures, tables
 from . import duckfn as D
 from .registry import register
+from ..vocab import sql_str
 from .sqlviews import with_views
 
 P = with_views("posts")
@@ -61,3 +62,63 @@ def q_p9(spark, sf):
     return d.select(F.col("doc_id").cast("string").alias("id"), file_lang.alias("file_lang"),
                     T.language_from_content(F.col("text")).alias("content_lang"),
                     T.repaired_language(file_lang, F.col("text")).alias("lang"))
+
+
+# The test texts hold no URL, emoji, Cyrillic, apostrophe, blank or null: these queries put them
+# there by id, on both sides, so that every rule is reached.
+_MARKS = [
+    ("", " https://ex.org/a?b=1&c=%20 \U0001F600 @user #tag"), ("Привіт, їжаку Ґ ", ""), ("Это ЫЭЪЁ ", ""), ("don't «цитата» ", " Http://Up.Case/x"),
+    None, "", ("www.site.net ", " ©™ \U0001F1FA\U0001F1E6 end"), ("", " і і ы"),
+]
+
+
+def _marked(content, doc_id):
+    out = F.lit(None).cast("string")
+    for i, m in enumerate(_MARKS):
+        text = F.lit(m).cast("string") if not isinstance(m, tuple) else F.concat(F.lit(m[0]), content, F.lit(m[1]))
+        out = F.when(doc_id % len(_MARKS) == i, text).otherwise(out)
+    return out
+
+
+def _marked_sql() -> str:
+    cases = []
+    for i, m in enumerate(_MARKS):
+        text = "CAST(NULL AS VARCHAR)" if m is None else "''" if m == "" else f"{sql_str(m[0])} || text || {sql_str(m[1])}"
+        cases.append(f"WHEN {i} THEN {text}")
+    return f"SELECT doc_id, CASE doc_id % {len(_MARKS)} {' '.join(cases)} END AS content FROM documents"
+
+
+@register("clean_text_marked", covers="P3 P4 P5", sql=f"""
+WITH m AS ({_marked_sql()})
+SELECT doc_id, {D.clean_text('content', ' ')} AS spaced, {D.clean_text('content', '')} AS dropped,
+       {D.clean_for_embedding('content')} AS for_embedding FROM m""")
+def q_marked_clean(spark, sf):
+    c = _marked(F.col("text"), F.col("doc_id"))
+    m = tables.documents(spark, sf).select("doc_id", c.alias("content"))
+    return m.select("doc_id", T.clean_text(F.col("content"), " ").alias("spaced"), T.clean_text(F.col("content"), "").alias("dropped"),
+                    T.clean_for_embedding(F.col("content")).alias("for_embedding"))
+
+
+@register("missing_values_marked", covers="P1 P2", sql=f"""
+WITH m AS ({_marked_sql()})
+SELECT doc_id, coalesce(content, '') AS content_filled, content IS NOT NULL AS kept FROM m""")
+def q_marked_missing(spark, sf):
+    c = _marked(F.col("text"), F.col("doc_id"))
+    m = tables.documents(spark, sf).select("doc_id", c.alias("content"), c.isNotNull().alias("kept"))
+    return m.na.fill({"content": ""}).select("doc_id", F.col("content").alias("content_filled"), "kept")
+
+
+@register("language_repair_marked", covers="P9 P10 P11 Q9", sql=f"""
+WITH m AS ({_marked_sql()}),
+f AS (SELECT doc_id, coalesce(content, '') AS content, CASE doc_id % 3 WHEN 0 THEN 'uk' WHEN 1 THEN 'ru' ELSE 'uk' END AS file_lang FROM m),
+l AS (SELECT doc_id, file_lang, CASE
+       WHEN {D.count_chars('lower(content)', T.UK_LETTERS)} > {D.count_chars('lower(content)', T.RU_LETTERS)} THEN 'uk'
+       WHEN {D.count_chars('lower(content)', T.RU_LETTERS)} > {D.count_chars('lower(content)', T.UK_LETTERS)} THEN 'ru'
+       WHEN {D.count_chars('lower(content)', 'і')} > {D.count_chars('lower(content)', 'ы')} THEN 'uk' ELSE 'ru' END AS content_lang FROM f)
+SELECT doc_id, file_lang, content_lang, CASE WHEN file_lang = content_lang THEN file_lang ELSE content_lang END AS lang FROM l""")
+def q_marked_language(spark, sf):
+    c = _marked(F.col("text"), F.col("doc_id"))
+    name = F.when(F.col("doc_id") % 3 == 0, F.lit("synthetic_uk.csv")).when(F.col("doc_id") % 3 == 1, F.lit("data_ru_2.csv")).otherwise(F.lit("other.csv"))
+    m = tables.documents(spark, sf).select("doc_id", c.alias("content"), T.language_from_filename(name).alias("file_lang"))
+    return m.select("doc_id", "file_lang", T.language_from_content(F.col("content")).alias("content_lang"),
+                    T.repaired_language(F.col("file_lang"), F.col("content")).alias("lang"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import spans as SP
 from ..operators import vectors as V
-from ..sources import fixtures, tables
+from ..sources import fixtures, io, tables
 from . import duckfn as D
 from .common import r6
 from .registry import register
@@ -24,7 +24,7 @@ def _store(spark, sf):
 SELECT id, CAST(len(embedding) AS BIGINT) AS n_dims, array_to_string(coalesce(techniques, []), ',') AS techniques,
        coalesce(CAST(manipulative AS BOOLEAN), false) AS manipulative FROM store WHERE len(embedding) > 0""")
 def q_s9(spark, sf):
-    s = _store(spark, sf)
+    s = io.store_scan(fixtures.store(spark, sf))
     return s.select("id", F.size("embedding").cast("bigint").alias("n_dims"),
                     F.array_join(F.coalesce("techniques", F.array().cast("array<string>")), ",").alias("techniques"),
                     F.coalesce(F.col("manipulative").cast("boolean"), F.lit(False)).alias("manipulative"))

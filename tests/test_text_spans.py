@@ -64,3 +64,14 @@ def test_trigger_presence_long_phrase_is_matched(spark):
     d = spark.createDataFrame([("1", "fud", long_phrase)], "id string, label string, phrase string")
     out = {r.id: r.trigger_present_fud for r in SP.trigger_presence(texts, d, ["fud"]).collect()}
     assert out == {"1": 1, "2": 0}
+
+
+def test_trigger_presence_equals_the_regex(spark):
+    import re
+    phrases = ["big cat", "cat's", "'s tail", "a, b", "b - c d", "the big cat sat", "x y'", "dog"]
+    texts = ["the big cat sat on a, b - c d", "big cat's tail", "a,b", "the big  cat sat", "x y'z", "x y' z", "hotdog dog's", "", "cat 's tail", None]
+    d = spark.createDataFrame([("1", f"l{i}", p) for i, p in enumerate(phrases)], "id string, label string, phrase string")
+    t = spark.createDataFrame([(str(i), x) for i, x in enumerate(texts)], "id string, cleaned string")
+    labels = [f"l{i}" for i in range(len(phrases))]
+    got = {r.id: [r[f"trigger_present_{x}"] for x in labels] for r in SP.trigger_presence(t, d, labels).collect()}
+    assert got == {str(i): [int(bool(re.search(r"\b" + re.escape(p) + r"\b", x or ""))) for p in phrases] for i, x in enumerate(texts)}
