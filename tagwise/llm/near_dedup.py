@@ -11,8 +11,9 @@ sketches leave is confirmed on the full shingle sets of the whole texts.
 Texts with one shingle set are one class from the start. Within a bucket, no pairs are
 listed: in each turn a class is held against a few pivots of its buckets, classes that
 join get one label, and a bucket counts again only while it holds several labels. When
-the pivots no longer close half of what is open, the pairs of different labels that the
-wide sketch cannot rule out are confirmed too: the pivots save work and drop nothing.
+the pivots close no more, the pairs of different labels that the wide sketch cannot rule
+out are confirmed too, for each two labels the closest first: the pivots save work and
+drop nothing.
 """
 
 from __future__ import annotations
@@ -130,8 +131,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     confirm = _Confirm(texts, labels, reps, shingle_words, lower, percent)
 
     turn, open_before = 0, math.inf
-    # Turns go on while they at least halve the open members; the step after them is complete in any case.
-    while (still_open := members.count()) and 2 * still_open <= open_before:
+    # Turns go on while they close a quarter of the open labels; the steps after them are complete in any case.
+    while (still_open := members.agg(F.countDistinct("label")).first()[0]) and 4 * still_open <= 3 * open_before:
         open_before = still_open
         pivots = members.groupBy("key").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(turn))).alias("p"))
         often = members.join(pivots, "key").where("label <> p.label").groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count("*").alias("c"))
@@ -146,8 +147,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What is left: pairs of different labels in one bucket that the wide sketches cannot rule out.
     side = members.join(reps.select("id", "n", "wide"), "id")
     a, b = (side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "wide")]) for s in "ab")
-    found = confirm(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & _not_ruled_out(percent))
-                    .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), checked=True)
+    gap = _differing("wide_a", "wide_b", WIDE_BITS) / (F.col("n_a") + F.col("n_b"))
+    left = stored(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & _not_ruled_out(percent))
+                  .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), gap.alias("gap")).distinct(), "left")
+    # For each two labels the closest pair first, while such pairs are links; then all the others.
+    while True:
+        for s in "ab":
+            left = left.join(labels.select(F.col("id").alias(s), F.col("label").alias(f"label_{s}")), s)
+        left = stored(left.where("label_a <> label_b"), "left")
+        two = (F.least("label_a", "label_b"), F.greatest("label_a", "label_b"))
+        closest = left.groupBy(*two).agg(F.min(F.struct("gap", "a", "b")).alias("m")).select("m.a", "m.b")
+        found = confirm(closest, checked=True)
+        left = left.select("a", "b", "gap").join(closest, ["a", "b"], "left_anti")
+        if not found.limit(1).count():
+            break
+        labels = _joined(labels, found)
+    found = confirm(left.select("a", "b"), checked=True)
     if found.limit(1).count():
         labels = _joined(labels, found)
 
@@ -195,7 +210,8 @@ class _Confirm:
     """Keeps the pairs ``(a, b)`` that the sketches allow and the whole texts confirm."""
 
     def __init__(self, texts: DataFrame, labels: DataFrame, reps: DataFrame, k: int, lower: bool, percent: int):
-        self.texts = stored(texts.join(labels.select("id"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
+        # The candidates grow with the documents, so they are not to be broadcast at any size.
+        self.texts = stored(texts.join(labels.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
         self.reps, self.k, self.lower, self.percent = reps, k, lower, percent
 
     def __call__(self, pairs: DataFrame, checked: bool = False) -> DataFrame:
