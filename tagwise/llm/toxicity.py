@@ -165,7 +165,7 @@ def _learn_stems(sample: DataFrame, n1: int, n0: int, most: int) -> dict[str, fl
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
     rows = (counts.where("a >= 3").withColumn("w", log_odds).withColumn("g", 2 * (part("a", p1) + part("b", p0)))
             .where("w >= 3").orderBy(F.desc("g"), "stem").limit(most).collect())
-    bound = 2 * math.log(max(len(rows), 2)) + 20
+    bound = 2 * math.log(max(len(rows), 2)) + 4
     strong = {r.stem: r.w for r in rows if r.g >= bound}
     return {s: w for s, w in strong.items() if not any(s[:n] in strong for n in range(min(PREFIXES), len(s)))}
 
