@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words of unwanted trades.
-BLOCK_WORDS = ("adult betting casino cheap cialis cracked escort gambling hoax jackpot keygen lottery malware miracle phishing pills poker porn "
+BLOCK_WORDS = ("ads adult bet bets betting casino cheap cialis cracked escort gambling hoax jackpot keygen lottery malware miracle phishing pills poker porn "
                "replica scam sex slots spam torrent viagra warez webcam xxx").split()
 LONGEST = 24
 
