@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 # Words of unwanted trades.
 BLOCK_WORDS = ("ads adult bet bets betting casino cheap cialis cracked escort gambling hoax jackpot keygen lottery malware miracle phishing pills poker porn "
                "replica scam sex slots spam torrent viagra warez webcam xxx").split()
@@ -62,14 +64,27 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
     return name, action
 
 
+def _most_frequent(counts: DataFrame, most: int) -> list:
+    """Rows of ``counts (w, n, ...)`` from the frequency down at which at most ``most`` remain:
+    the cut comes from a short histogram, so no more than that reaches the driver."""
+    counts = stored(counts, "counts")
+    level = F.floor(F.log2("n") * 8)
+    left, cut = most, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r.level):
+        left -= r.c
+        if left < 0:
+            break
+        cut = r.level
+    return counts.where(level >= cut).collect() if cut is not None else []
+
+
 def word_counts(texts: DataFrame, text_col: str, max_words: int = 50_000) -> dict[str, int]:
-    """The ``max_words`` most frequent lower-case words of two letters and more in all rows'
-    whole texts, tags and host names left out (the lexicon's documented bound)."""
+    """The most frequent lower-case words of two letters and more in all rows' whole texts,
+    tags and host names left out; ``max_words`` is the lexicon's documented bound."""
     plain = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "<[^>]*>", " ")
     plain = F.regexp_replace(plain, r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", " ")
     words = texts.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
-    rows = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(max_words).collect()
-    return {r.w: r.n for r in rows}
+    return {r.w: r.n for r in _most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), max_words)}
 
 
 class Lexicon:
@@ -133,15 +148,15 @@ def url_words(host: Column, path: Column, counts: dict[str, int]) -> Column:
 def fit_bayes(words: DataFrame, col: str = "words", max_words: int = 100_000) -> dict[str, float]:
     """Weight of each word: log P(word | block) - log P(word | allow), smoothed by one half;
     the entry of the empty string is the classes' log-ratio. Counts are summed over all
-    rows; of the words, the ``max_words`` most frequent have a weight."""
+    rows; only the most frequent words, up to ``max_words``, have a weight."""
     bad = F.exists(col, lambda w: w.isin(BLOCK_WORDS)).cast("int")
     rows = words.select(bad.alias("bad"), F.col(col).alias("ws"))
     sizes = rows.agg(F.sum("bad"), F.count("*")).first()
     blocked, total = sizes[0] or 0, sizes[1]
     counts = (rows.select("bad", F.explode("ws").alias("w")).groupBy("w").agg(F.sum("bad").alias("b"), F.count("*").alias("n")))
-    whole = counts.agg(F.sum("b"), F.sum("n"), F.count("*")).first()
-    b_all, n_all, v = (x or 0 for x in whole)
-    top = counts.orderBy(F.desc("n"), "w").limit(max_words).collect()
+    counts = stored(counts, "words")
+    b_all, n_all, v = (x or 0 for x in counts.agg(F.sum("b"), F.sum("n"), F.count("*")).first())
+    top = _most_frequent(counts, max_words)
     weights = {r.w: math.log((r.b + 0.5) / (b_all + 0.5 * (v + 1))) - math.log((r.n - r.b + 0.5) / (n_all - b_all + 0.5 * (v + 1))) for r in top}
     for w in BLOCK_WORDS:
         weights.setdefault(w, 3.0)
