@@ -2,8 +2,8 @@
 
 Rules name a host (with its subdomains) and a path prefix; the longest one that fits
 decides. For the rest, host and path are cut into words: a unigram Viterbi search splits
-concatenated names by word counts over the pages' whole texts. Multinomial naive Bayes
-then scores the words. Its classes start from fixed words of unwanted trades: urls that
+concatenated names by word counts over the pages' whole texts; lexicon and weights are
+tables of any size, met by joins. Multinomial naive Bayes then scores the words. Its classes start from fixed words of unwanted trades: urls that
 hold one are the block class, all others the allow class, so words that keep company
 with them weigh too.
 """
@@ -14,7 +14,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,36 +64,23 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
     return name, action
 
 
-def _most_frequent(counts: DataFrame, most: int) -> list:
-    """Rows of ``counts (w, n, ...)`` from the frequency down at which at most ``most`` remain:
-    the cut comes from a short histogram, so no more than that reaches the driver."""
-    counts = stored(counts, "counts")
-    level = F.floor(F.log2("n") * 8)
-    left, cut = most, None
-    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r.level):
-        left -= r.c
-        if left < 0:
-            break
-        cut = r.level
-    return counts.where(level >= cut).collect() if cut is not None else []
-
-
-def word_counts(texts: DataFrame, text_col: str, max_words: int = 50_000) -> dict[str, int]:
-    """The most frequent lower-case words of two letters and more in all rows' whole texts,
-    tags and host names left out; ``max_words`` is the lexicon's documented bound."""
-    plain = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "<[^>]*>", " ")
+def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """``(w, n)``: every lower-case word of two letters and more in all rows' whole texts,
+    tags and host names left out."""
+    plain = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "<[^>]*>", " ")
     plain = F.regexp_replace(plain, r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", " ")
     words = texts.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
-    return {r.w: r.n for r in _most_frequent(words.groupBy("w").agg(F.count("*").alias("n")), max_words)}
+    return stored(words.groupBy("w").agg(F.count("*").alias("n")), "counts")
 
 
 class Lexicon:
     """Unigram model: a known word costs its negative log-probability, another string a fixed
-    price and a price for each letter."""
+    price and a price for each letter. ``total`` is that of all counts, if ``counts`` holds
+    only the words that can occur in the names to split."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], total: int | None = None):
         counts = {w: counts.get(w, 0) for w in {*counts, *BLOCK_WORDS}}
-        total = sum(counts.values()) + len(counts)
+        total = total or sum(counts.values()) + len(counts)
         # Fixed words count as known ones of middling frequency.
         least = {w: max(1.0, total * 1e-5) for w in BLOCK_WORDS}
         self.cost = {w: -math.log(max(n + 1, least.get(w, 0)) / total) for w, n in counts.items()}
@@ -120,48 +107,60 @@ class Lexicon:
         return out
 
 
-def url_words(host: Column, path: Column, counts: dict[str, int]) -> Column:
-    """Words of host and path: runs of letters, cut by the lexicon."""
+def _pieces(runs: DataFrame) -> DataFrame:
+    """``(rid, w)``: the distinct parts of 2 to ``LONGEST`` letters of each run."""
 
-    @F.pandas_udf("array<string>")
-    def segment(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        import re
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(run)
+                for first in range(0, n, 2_000):        # a run of any length goes in short batches
+                    parts = list({run[a:b] for a in range(first, min(n, first + 2_000)) for b in range(a + 2, min(n, a + LONGEST) + 1)})
+                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(parts), pa.int64()), pa.array(parts, pa.string())], names=["rid", "w"])
 
-        lexicon, letters, known = Lexicon(counts), re.compile("[a-z]+"), {}
-        for hosts, paths in parts:
-            rows = []
-            for host, path in zip(hosts, paths, strict=True):
-                words = []
-                for run in letters.findall(f"{host or ''} {(path or '').lower()}"):
-                    got = known.get(run)
-                    if got is None:
-                        got = lexicon.split(run)
-                        if len(known) < 100_000:
-                            known[run] = got
-                    words += got
-                rows.append(words)
-            yield pd.Series(rows)
+    return runs.select("rid", "run").mapInArrow(cut, "rid long, w string")
 
-    return segment(host, path)
 
+def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(run, words)`` for distinct ``runs (run)`` of letters: each is cut with the counts of
+    the words that occur in it, so no task holds the whole lexicon."""
+    size = counts.agg(F.sum("n"), F.count("*"), F.count(F.when(F.col("w").isin(BLOCK_WORDS), 1))).first()
+    total = (size[0] or 0) + size[1] + len(BLOCK_WORDS) - size[2]
+    runs = stored(runs.withColumn("rid", F.monotonically_increasing_id()), "runs")
+    found = _pieces(runs).join(counts, "w").groupBy("rid").agg(F.collect_set(F.struct("w", "n")).alias("known"))
 
-def fit_bayes(words: DataFrame, col: str = "words", max_words: int = 100_000) -> dict[str, float]:
-    """Weight of each word: log P(word | block) - log P(word | allow), smoothed by one half;
-    the entry of the empty string is the classes' log-ratio. Counts are summed over all
-    rows; only the most frequent words, up to ``max_words``, have a weight."""
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [Lexicon({x["w"]: x["n"] for x in known or ()}, total).split(run)
+                   for run, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.list_(pa.string()))], names=["run", "words"])
+
+    return stored(runs.join(found, "rid", "left").select("run", "known").mapInArrow(segment, "run string, words array<string>"), "segments")
+
+
+def url_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
+    """``urls (row, host, path)`` with ``words``, the words of host and path in their order:
+    runs of letters, cut by the lexicon."""
+    letters = F.regexp_extract_all(F.concat("host", F.lit(" "), F.lower("path")), F.lit("[a-z]+"), 0)
+    runs = urls.select("row", F.posexplode(letters).alias("at", "run"))
+    cut = split_runs(runs.select("run").distinct(), counts)
+    in_order = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]))
+    words = runs.join(cut, "run").groupBy("row").agg(in_order.alias("words"))
+    return stored(urls.join(words, "row", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))), "words")
+
+
+def fit_bayes(words: DataFrame, col: str = "words") -> tuple[DataFrame, float]:
+    """``(w, weight)`` of every word, log P(word | block) - log P(word | allow), smoothed by
+    one half; and the classes' log-ratio. Counts are summed over all rows."""
     bad = F.exists(col, lambda w: w.isin(BLOCK_WORDS)).cast("int")
     rows = words.select(bad.alias("bad"), F.col(col).alias("ws"))
     sizes = rows.agg(F.sum("bad"), F.count("*")).first()
     blocked, total = sizes[0] or 0, sizes[1]
     counts = (rows.select("bad", F.explode("ws").alias("w")).groupBy("w").agg(F.sum("bad").alias("b"), F.count("*").alias("n")))
-    counts = stored(counts, "words")
+    counts = stored(counts, "weights")
     b_all, n_all, v = (x or 0 for x in counts.agg(F.sum("b"), F.sum("n"), F.count("*")).first())
-    top = _most_frequent(counts, max_words)
-    weights = {r.w: math.log((r.b + 0.5) / (b_all + 0.5 * (v + 1))) - math.log((r.n - r.b + 0.5) / (n_all - b_all + 0.5 * (v + 1))) for r in top}
-    for w in BLOCK_WORDS:
-        weights.setdefault(w, 3.0)
-    weights[""] = math.log((blocked + 0.5) / (total - blocked + 0.5))
-    return weights
+    weight = F.log((F.col("b") + 0.5) / (b_all + 0.5 * (v + 1))) - F.log((F.col("n") - F.col("b") + 0.5) / (n_all - b_all + 0.5 * (v + 1)))
+    return counts.select("w", weight.alias("weight")), math.log((blocked + 0.5) / (total - blocked + 0.5))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
@@ -172,16 +171,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     alike; an empty table gives none. Other columns are not read."""
     host, path = host_of(F.col(f"`{url_col}`")), path_of(F.col(f"`{url_col}`"))
     rule, action = rule_of(rules, F.col("host"), F.col("path"))
-    cut = pages.select(F.col(f"`{id_col}`"), host.alias("host"), path.alias("path"))
-    cut = cut.withColumn("words", url_words(F.col("host"), F.col("path"), word_counts(pages, text_col)))
-    weights = fit_bayes(cut)
-    prior = weights.pop("")
-
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield pd.Series([prior + sum(weights.get(w, 0.0) for w in ws) for ws in part], dtype=float)
-
-    judged = cut.withColumn("log_odds", score("words"))
+    urls = stored(pages.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path")), "urls")
+    cut = url_words(urls, word_counts(pages, text_col))
+    weights, prior = fit_bayes(cut)
+    # Weights are added in the order of the words, so that runs agree to the last bit.
+    in_order = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "weight"))), F.lit(0.0), lambda t, x: t + x["weight"])
+    sums = cut.select("row", F.posexplode("words").alias("at", "w")).join(weights, "w").groupBy("row").agg(in_order.alias("sum"))
+    judged = cut.join(sums, "row", "left").withColumn("log_odds", F.lit(prior) + F.coalesce("sum", F.lit(0.0)))
     verdict = F.coalesce(action, F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    return judged.select(id_col, "host", "path", rule.alias("rule"), verdict.alias("verdict"), "words", "log_odds")
+    return judged.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), verdict.alias("verdict"), "words", "log_odds")
