@@ -85,7 +85,8 @@ def q_m4(spark, sf):
     thr = ME.rarity_thresholds(counts)
     scores = MO.score_long(models, f.where(F.col("split") == "test"), LABELS)
     tst = ME.apply_thresholds(scores, thr, inclusive=True)
-    return ME.metrics_by_label(tst.select("id", "label", "y", "p"))
+    trees = F.coalesce(*[F.when(F.col("label") == x, F.lit(m.getNumTrees if m else 0)) for x, m in models.items()])
+    return ME.metrics_by_label(tst.select("id", "label", "y", "p")).withColumn("n_trees", trees)
 
 
 B = duck_seeded_bucket("id")
