@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -100,15 +103,28 @@ c AS (SELECT label, sum(CASE WHEN list_contains(coalesce(techniques, []), label)
 SELECT label, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg,
        CAST(CASE WHEN least(n_pos, n_neg) >= 2 THEN abs(n_pos - n_neg) ELSE 0 END AS BIGINT) AS n_synthetic FROM c""")
 def q_r6(spark, sf):
+    """Rows of each class by label, and the synthetic rows made for it."""
+    f, new = _smote_rows(spark, sf)
+    arr = F.coalesce("techniques", F.array().cast("array<string>"))
+    each = f.select(F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.array_contains(arr, x).cast("bigint").alias("y")) for x in LABELS])).alias("e"))
+    counts = each.groupBy("e.label").agg(F.sum("e.y").alias("n_pos"), F.sum(1 - F.col("e.y")).alias("n_neg"))
+    made = new.groupBy("label").agg(F.count("vector").alias("n_synthetic"))
+    return counts.join(made, "label", "left").select("label", "n_pos", "n_neg", F.coalesce("n_synthetic", F.lit(0).cast("bigint")).alias("n_synthetic"))
+
+
+def _smote_rows(spark, sf):
+    """The training rows, and (label, id, y, vector) of all labels' synthetic rows."""
     f = checkpointed(_store_features(spark, sf).where(F.col("split") == "train"))
-    rows = []
-    for x in LABELS:
-        d = f.select("id", F.col("embedding").cast("array<double>").alias("v"),
-                     F.array_contains(F.coalesce("techniques", F.array().cast("array<string>")), x).cast("int").alias("y"))
-        new = MO.smote(d, "v", "y")
-        cnt = d.agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).first()
-        rows.append((x, int(cnt["p"] or 0), int(cnt["n"] - (cnt["p"] or 0)), new.count()))
-    return spark.createDataFrame(rows, "label string, n_pos bigint, n_neg bigint, n_synthetic bigint")
+    arr = F.coalesce("techniques", F.array().cast("array<string>"))
+    new = [MO.smote(f.select("id", F.col("embedding").cast("array<double>").alias("vector"), F.array_contains(arr, x).cast("int").alias("y")), "vector", "y")
+           .select(F.lit(x).alias("label"), "id", "y", "vector") for x in LABELS]
+    return f, reduce(DataFrame.unionByName, new)
+
+
+@register("smote_rows", covers="R6")
+def q_r6_rows(spark, sf):
+    """The synthetic rows themselves."""
+    return _smote_rows(spark, sf)[1]
 
 
 @register("score_and_submit", covers="M7 M8 L10 P16 S12 Q13")
