@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import labels as LF
+from ..functions import text as TX
+from ..operators import spans as SP
 from ..operators import synthetic as SY
 from ..operators import vectors as V
 from ..session import scratch_path
@@ -168,17 +170,31 @@ def q_s10(spark, sf):
     return io.store_upsert(store, new).select("id", "origin")
 
 
-@register("store_bulk_load", covers="S11 L1 P13 A6 A7 A8")
+def bulk_load(store, docs):
+    """Store rows with the new documents (id, content, techniques, manipulative,
+    trigger_words), and the rejects with their reason. A text's vector is the mean of its
+    chunks', combined with its spans' vectors where it has spans (A10)."""
+    ok = docs.where(F.col("content").isNotNull())
+    rejects = docs.where(F.col("content").isNull()).select("id", F.lit("no text").alias("reason"), "techniques", "manipulative")
+    spans = F.coalesce("trigger_words", F.array().cast(docs.schema["trigger_words"].dataType))
+    pieces = F.transform(SP.span_slices(F.col("content"), spans), lambda p: TX.clean_for_embedding(p))
+    d = ok.withColumn("_v", V.embed_many_udf(F.concat(F.array(TX.clean_for_embedding(F.col("content"))), pieces))) \
+          .withColumn("_w", F.transform(SP.span_weights(F.col("content"), spans), lambda x: x["weight"]))
+    base, sv = F.col("_v")[0], F.slice("_v", 2, F.size("_v"))
+    usable = (F.size("_w") > 0) & (F.size("_w") == F.size(sv)) & ~F.exists("_w", lambda w: w.isNull())
+    emb = F.when(usable, V.weighted_combine(base, sv, F.col("_w"))).otherwise(base)
+    return io.store_upsert(store, d.select("id", emb.alias("embedding"), "techniques", "manipulative"), stamp=False), rejects
+
+
+@register("store_bulk_load", covers="S11 L1 P13 A6 A7 A8 A10")
 def q_s11(spark, sf):
     """Bulk load: parse the label text (L1), default the flag, embed (chunk, encode,
-    mean), insert new ids into the store; rows without text go to rejects."""
-    lt = fixtures.label_text(spark, sf)
-    docs = lt.select("id", "content", LF.labels_bracket_split(F.col("techniques_text")).alias("techniques"),
-                     F.coalesce(F.col("manipulative"), F.lit(False)).alias("manipulative"))
-    ok = docs.where(F.col("content").isNotNull())
-    ch = V.chunk_and_embed(ok.select("id", "content"), "content")
-    emb = V.mean_vector(ch, "id", "vector").select("id", F.col("mean_vector").alias("embedding"))
-    new = ok.join(emb, "id")
+    mean, spans), insert new ids into the store; rows without text go to rejects. Returns
+    both, with the reason of a reject."""
+    spans = fixtures.posts(spark, sf).select("id", "trigger_words")
+    docs = fixtures.label_text(spark, sf).join(spans, "id", "left").select(
+        "id", "content", LF.labels_bracket_split(F.col("techniques_text")).alias("techniques"),
+        F.coalesce(F.col("manipulative"), F.lit(False)).alias("manipulative"), "trigger_words")
     store = fixtures.store(spark, sf).select("id", F.col("embedding").cast("array<double>"), "techniques", "manipulative")
-    return io.store_upsert(store, new.select("id", "embedding", "techniques", "manipulative"), stamp=False) \
-             .groupBy().agg(F.count(F.lit(1)).alias("n_docs"))
+    loaded, rejects = bulk_load(store, docs)
+    return loaded.unionByName(rejects, allowMissingColumns=True)
