@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .decontamination import find_leaks
 from .exact_dedup import exact_groups
 from .license_scan import scan_files
+from .merkle import leaf, manifest, tampered_text
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import KINDS, find_pii, fit_pii, span_text
@@ -154,3 +155,59 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return scan_files(docs.select("doc_id", path.alias("path"), "text"), "doc_id", "path", "text")
+
+
+_MERKLE_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head, text,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+crc_table(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_table WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS t FROM crc_table WHERE k = 8),
+crc AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c & 255, b)) + 1]::BIGINT)), 4294967295) AS v FROM (SELECT DISTINCT doc_id FROM documents), tab),
+leaves AS (
+  SELECT d.doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN v % 5 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS now
+  FROM docs d JOIN crc ON crc.doc_id = d.doc_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+up(source, lvl, pos, h, n) AS (
+  SELECT source, 0, pos, leaf, n FROM placed
+  UNION ALL SELECT source, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM up WHERE n > 1 GROUP BY source, lvl, pos // 16, n),
+subs AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, pos, h, n) AS (
+  SELECT 0, pos, subroot, n FROM subs
+  UNION ALL SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY lvl, pos // 16, n),
+sib AS (
+  SELECT a.source, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM up a JOIN up b ON a.source IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY 1, 2, 3),
+topsib AS (
+  SELECT a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY 1, 2),
+path AS (
+  SELECT p.source, p.pos, s.lvl, s.l, s.r FROM placed p JOIN sib s ON s.source IS NOT DISTINCT FROM p.source AND s.pos = p.pos // pow(16, s.lvl)::BIGINT
+  UNION ALL SELECT p.source, p.pos, 1000 + t.lvl, t.l, t.r FROM placed p JOIN subs u ON u.source IS NOT DISTINCT FROM p.source
+  JOIN topsib t ON t.pos = u.pos // pow(16, t.lvl)::BIGINT),
+proofs AS (SELECT source, pos, list(l ORDER BY lvl) AS ls, list(r ORDER BY lvl) AS rs, string_agg(l || r, '' ORDER BY lvl) AS proof FROM path GROUP BY 1, 2),
+done AS (
+  SELECT p.doc_id, p.leaf, u.subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+         list_reduce(list_prepend(now, list_transform(range(1, coalesce(len(ls), 0) + 1), lambda i: ls[i] || '|' || rs[i])),
+                     lambda d, s: sha256(string_split(s, '|')[1] || d || string_split(s, '|')[2])) AS folded_root
+  FROM placed p JOIN subs u ON u.source IS NOT DISTINCT FROM p.source
+  LEFT JOIN proofs f ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM done
+"""
+
+
+@query("op12_butterfly_merkle_manifest", _MERKLE_SQL)
+def op12(spark, sf_dir):
+    """Every document as a leaf with its proof; one in five is checked with lower-cased text."""
+    docs = table(spark, sf_dir, "documents")
+    head, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, leaf(*head, tampered_text(text)))
+    return manifest(docs, "doc_id", "source", leaf(*head, text), changed).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
