@@ -8,6 +8,7 @@ from .decontamination import find_leaks
 from .divergence import audit
 from .exact_dedup import exact_groups
 from .license_scan import scan_files
+from .lm_score import score_texts
 from .merkle import leaf, manifest, tampered_text
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -242,3 +243,10 @@ WHERE part = 'pair' OR rank <= 200
 def op13(spark, sf_dir):
     """Every source against the others of its language, and the terms it has more of."""
     return audit(table(spark, sf_dir, "documents"))
+
+
+@query("op11_subword_lattice_lm")
+def op11(spark, sf_dir):
+    """Every document scored; those whose CRC leaves 2 modulo 7 do not teach."""
+    docs = table(spark, sf_dir, "documents")
+    return score_texts(docs, "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)
