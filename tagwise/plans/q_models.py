@@ -50,15 +50,18 @@ def q_tf5(spark, sf):
 
 
 def _tuned_metrics(spark, sf, kind: str):
+    """Test metrics per label, with the solver's steps and the norms of its first and last gradient."""
     f = checkpointed(_features(spark, sf))
-    models = MO.fit_one_vs_rest(f.where(F.col("split") == "train"), LABELS, kind=kind)
-    scores = MO.score_long(models, f.where(F.col("split") != "train"), LABELS, kind=kind)
+    model = MO.fit_linear_models(f.where(F.col("split") == "train"), LABELS, kind)
+    scores = MO.score_long(MO.linear_scorer(model, spark), f.where(F.col("split") != "train"), LABELS)
     if kind == "svm":
         tst = scores.where(F.col("split") == "test").withColumn("p", (F.col("score") > 0).cast("int"))
     else:
         best = ME.best_threshold(ME.threshold_sweep(scores.where(F.col("split") == "val")))
         tst = ME.apply_thresholds(scores.where(F.col("split") == "test"), best)
-    return ME.metrics_by_label(tst.select("id", "label", "y", "p"))
+    fits = spark.createDataFrame([(x, int(model.steps[i]), float(model.first_norm[i]), float(model.norm[i])) for i, x in enumerate(LABELS)],
+                                 "label string, steps int, first_gradient double, last_gradient double")
+    return ME.metrics_by_label(tst.select("id", "label", "y", "p")).join(fits, "label")
 
 
 @register("ovr_logistic", covers="M1 M2 W3 E1")
@@ -83,10 +86,10 @@ def q_m4(spark, sf):
     # 10% of the training rows (by hash) are the early-stopping validation set
     train = f.where(F.col("split") == "train").withColumn(
         "is_val", seeded_bucket(F.col("id"), 7) < 10)
-    models = MO.fit_one_vs_rest(train, LABELS, kind="gbt", validation_col="is_val")
+    models = MO.fit_one_vs_rest(train, LABELS, validation_col="is_val")
     counts = stats.class_weights_balanced(train).select("label", "count")
     thr = ME.rarity_thresholds(counts)
-    scores = MO.score_long(models, f.where(F.col("split") == "test"), LABELS)
+    scores = MO.score_trees(models, f.where(F.col("split") == "test"), LABELS)
     tst = ME.apply_thresholds(scores, thr, inclusive=True)
     trees = F.coalesce(*[F.when(F.col("label") == x, F.lit(m.getNumTrees if m else 0)) for x, m in models.items()])
     return ME.metrics_by_label(tst.select("id", "label", "y", "p")).withColumn("n_trees", trees)
@@ -130,11 +133,11 @@ def q_r6_rows(spark, sf):
 @register("score_and_submit", covers="M7 M8 L10 P16 S12 Q13")
 def q_m7(spark, sf):
     f = checkpointed(_features(spark, sf))
-    models = MO.fit_one_vs_rest(f.where(F.col("split") == "train"), LABELS)
-    for name, m in models.items():                       # S12: persist models and classes
-        if m is not None:
-            io.save_model(m, scratch_path(spark, f"model_{name}"), LABELS, spark)
-    scores = MO.score_long(models, f, LABELS)
+    fitted = MO.fit_linear_models(f.where(F.col("split") == "train"), LABELS, "logistic")
+    path = scratch_path(spark, "models")
+    io.save_model(spark, fitted, path)                       # S12: the scores come from the model read back
+    model = io.load_model(spark, path)
+    scores = MO.score_long(MO.linear_scorer(model, spark), f, model.labels)
     best = ME.best_threshold(ME.threshold_sweep(scores.where(F.col("split") == "val")))
     pred = ME.apply_thresholds(scores, best).where(F.col("p") == 1)
     labels = pred.groupBy("id").agg(F.array_sort(F.collect_list("label")).alias("labels"))
