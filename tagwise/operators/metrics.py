@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def _r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
@@ -168,6 +170,43 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
                     F.when(F.col("two"), _r6(F.col("b.f1"))).alias("val_f1"))
 
 
+def precision_recall_curve(long_scores: DataFrame) -> DataFrame:
+    """M2: (label, threshold, tp, fp, pos, gain, precision, recall, f1) at every distinct score of a label,
+    rule ``score >= threshold``; rows of one score are one step, and
+    gain is its positive rows. Null scores are left out.
+
+    A sort by range over all tasks, with counts in two passes: sums within a task's stretch of
+    a label, plus the sums of the stretches before it. No task holds a whole label, however
+    many of the rows it has; the stretches are one row for each task and label."""
+    steps = (long_scores.where(F.col("score").isNotNull()).groupBy("label", "score")
+             .agg(F.sum(F.col("y").cast("bigint")).alias("p"), F.sum(1 - F.col("y").cast("bigint")).alias("n")))
+    order = [F.asc_nulls_first("label"), F.desc("score")]
+    steps = checkpointed(steps.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    part, label = Window.partitionBy("part", "label"), Window.partitionBy("label")
+    stretch = steps.groupBy("part", "label").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    before = label.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    stretch = stretch.select(F.col("part").alias("_part"), F.col("label").alias("_label"), offset("p").alias("_p"), offset("n").alias("_n"), F.sum("p").over(label).alias("pos"))
+    here = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.select("part", "label", "score", F.col("p").alias("gain"), F.sum("p").over(here).alias("tp"), F.sum("n").over(here).alias("fp"))
+    both = steps.join(stretch, (F.col("part") == F.col("_part")) & F.col("label").eqNullSafe(F.col("_label")))
+    tp, fp = F.col("tp") + F.col("_p"), F.col("fp") + F.col("_n")
+    return both.select("label", F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"), "pos", "gain", _div(tp, tp + fp).alias("precision"),
+                       _div(tp, F.col("pos")).alias("recall"), _div(2 * tp, tp + fp + F.col("pos")).alias("f1"))
+
+
+def curve_summary(curve: DataFrame) -> DataFrame:
+    """Per label of a precision-recall curve: average precision (each step's gain in recall times
+    its precision) and the threshold of the best F1, the highest one on ties; null without a
+    positive row. The gain is read off the counts, so one aggregate does it."""
+    best = F.max(F.struct("f1", "threshold"))
+    g = curve.groupBy("label").agg(F.count(F.lit(1)).alias("steps"), F.max("pos").alias("pos"), best.alias("b"),
+                                   F.sum(F.col("gain") * F.col("precision")).alias("area"))
+    some = lambda c: F.when(F.col("pos") > 0, c)
+    return g.select("label", "steps", "pos", some(_r6(F.col("area") / F.col("pos"))).alias("average_precision"),
+                    some(_r6(F.col("b.threshold"))).alias("threshold"), some(_r6(F.col("b.f1"))).alias("f1"))
+
+
 def apply_thresholds(long_scores: DataFrame, thresholds: DataFrame, inclusive: bool = True) -> DataFrame:
     """Predict p per (id, label) with that label's threshold (``>=`` by default).
     The thresholds table has one row per label, so its broadcast is bounded by the

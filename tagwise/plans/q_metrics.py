@@ -165,6 +165,30 @@ def q_w3(spark, sf):
     return ME.best_threshold(_sweep(spark, sf))
 
 
+CURVE = with_views("scores", extra=[
+    ("step", "SELECT label, score, CAST(sum(y) AS BIGINT) AS gain, CAST(sum(1 - y) AS BIGINT) AS lose FROM scores WHERE score IS NOT NULL GROUP BY label, score"),
+    ("curve", "SELECT label, score, gain, CAST(sum(gain) OVER w AS BIGINT) AS tp, CAST(sum(lose) OVER w AS BIGINT) AS fp, "
+              "CAST(sum(gain) OVER (PARTITION BY label) AS BIGINT) AS pos FROM step WINDOW w AS (PARTITION BY label ORDER BY score DESC)")])
+
+
+@register("precision_recall_curve", covers="M2", sql=CURVE + f"""
+SELECT label, {r6('score')} AS threshold, tp, fp, pos, gain, {r6('tp / (tp + fp)')} AS "precision",
+       {r6('CASE WHEN pos = 0 THEN 0.0 ELSE tp / pos END')} AS recall, {r6('2 * tp / (tp + fp + pos)')} AS f1 FROM curve""")
+def q_curve(spark, sf):
+    """Every step of every label's curve over all rows."""
+    c = ME.precision_recall_curve(_scores(spark, sf))
+    return c.select("label", "tp", "fp", "pos", "gain", *[F.round(x, 6).alias(x) for x in ("threshold", "precision", "recall", "f1")])
+
+
+@register("average_precision", covers="M2", sql=CURVE + f"""
+SELECT label, count(*) AS steps, max(pos) AS pos, CASE WHEN max(pos) > 0 THEN {r6('sum(gain * (tp / (tp + fp))) / max(pos)')} END AS average_precision,
+       CASE WHEN max(pos) > 0 THEN {r6('arg_max(score, struct_pack(f := 2 * tp / (tp + fp + pos), s := score))')} END AS threshold,
+       CASE WHEN max(pos) > 0 THEN {r6('max(2 * tp / (tp + fp + pos))')} END AS f1 FROM curve GROUP BY label""")
+def q_area(spark, sf):
+    """Area under every label's curve and its best threshold among all scores."""
+    return ME.curve_summary(ME.precision_recall_curve(_scores(spark, sf)))
+
+
 TUNED = with_views("scores", extra=[
     ("val", VAL_SQL), ("sw", SWEEP_SQL), ("best", BEST_SQL),
     ("tst", f"SELECT s.id, s.label, s.y, CAST(s.score >= b.threshold AS INTEGER) AS p FROM scores s "
