@@ -9,7 +9,6 @@ adds the cells up. All arithmetic is on whole numbers.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import stored
-from .tokens import TERMS, split
+from .tokens import TERMS, Sums, row_words
 
 SCALE = 1_000_000_000
 #: Groups and terms along a side of a cell: at most 32 slices of 16,384 counts meet in a task.
@@ -26,8 +25,8 @@ GROUP_BLOCK = 16
 TERM_BLOCK = 1 << 14
 #: Rows of the languages' totals are copied so often for a join that a large language may spread.
 SALTS = 64
-#: A task gives out its counts when it holds so many.
-HELD = 400_000
+#: A task gives out its counts when it holds so many (some 40 bytes a row).
+HELD = 700_000
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
@@ -35,28 +34,24 @@ def count_terms(docs: DataFrame) -> DataFrame:
     and in how many rows. Each group also has one row of the empty term. Counts are summed in
     the task first, so a frequent term costs one row a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tf, df = defaultdict(Counter), defaultdict(Counter)
+        sums, groups = Sums(["group", "term"], ["tf", "df"], HELD), {}
         for batch in batches:
-            texts = batch.column(2)
-            for i, group in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                seen = set()
-                tf[group][b""] += 0
-                for words in split(texts[i].as_py(), TERMS):
-                    tf[group].update(words)
-                    seen.update(words)
-                df[group].update(seen)
-            if sum(map(len, tf.values())) > HELD:
-                yield from rows(tf, df)
-                tf, df = defaultdict(Counter), defaultdict(Counter)
-        yield from rows(tf, df)
-
-    def rows(tf, df):
-        for (lang, source), terms in tf.items():
-            for a in range(0, len(terms), 50_000):
-                part = list(terms)[a:a + 50_000]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()),
-                    pa.array([terms[t] for t in part], pa.int64()), pa.array([df[lang, source][t] for t in part], pa.int64())], ["lang", "source", "term", "tf", "df"])
+            group = np.array([groups.setdefault(g, len(groups)) for g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
+            marks = np.unique(group)
+            yield from named(sums.add(entries(marks, pa.array([b""] * len(marks), pa.binary()), np.zeros(len(marks), np.int64), 0)), groups)
+            for rows, terms, n in row_words(batch.column(2), TERMS):
+                yield from named(sums.add(entries(group[rows], terms, n, 1)), groups)
+        yield from named(sums.take(), groups)
+
+    def entries(group, terms, n, df):
+        return pa.table({"group": group, "term": terms, "tf": n.astype(np.int64), "df": np.full(len(n), df, np.int64)})
+
+    def named(tables, groups):
+        lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+        for table in tables:
+            names = pa.table([lang.take(table["group"].combine_chunks()), source.take(table["group"].combine_chunks()), table["term"].cast(pa.string()), table["tf"], table["df"]],
+                             ["lang", "source", "term", "tf", "df"])
+            yield from names.to_batches(max_chunksize=50_000)
 
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows_in = docs.select(blank("lang").alias("lang"), blank("source").alias("source"), blank("text").cast("binary").alias("text"))
@@ -65,8 +60,10 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
 
 def share(count: str, total: str, terms: str) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + terms)), exact at any size of the counts."""
-    return F.expr(f"1 + (CAST({count} + 1 AS DECIMAL(28, 0)) * CAST({SCALE} AS DECIMAL(10, 0))) div CAST({total} + {terms} AS DECIMAL(20, 0))")
+    """1 + floor(SCALE * (count + 1) / (total + terms)), exact at any size: in 64 bits while the
+    product fits, else in decimals."""
+    return F.expr(f"1 + CASE WHEN {count} < 9000000000 THEN ({count} + 1) * {SCALE} div ({total} + {terms}) ELSE "
+                  f"(CAST({count} + 1 AS DECIMAL(28, 0)) * CAST({SCALE} AS DECIMAL(10, 0))) div CAST({total} + {terms} AS DECIMAL(20, 0)) END")
 
 
 def _shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -139,13 +136,13 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
     blocks = F.ceil(F.col("terms") / TERM_BLOCK)
     words = (words.withColumn("salt", F.pmod(F.hash("term"), F.lit(SALTS))).join(spread, ["lang", "salt"])
              .withColumn("block", F.pmod(F.xxhash64("term"), blocks)))
-    words = stored(words.select("lang", "term", "lang_tf", "block", (F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1).alias("tid")), "terms")
+    words = stored(words.select("lang", "term", share("lang_tf", "lang_total", "terms").alias("q"), "block", (F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1).alias("tid")), "terms")
     widths = words.groupBy("lang", "block").agg((F.max("tid") + 1).alias("width"))
-    counts = stored(counted.where("term <> ''").join(words, ["lang", "term"]).select("lang", "source", "term", "tf", "lang_tf", "block", "tid"), "counts")
+    counts = stored(counted.where("term <> ''").join(words, ["lang", "term"]).select("lang", "source", "term", "tf", "q", "block", "tid"), "counts")
 
     groups = (counted.where("term = ''").select("lang", "source").distinct()
-              .join(counts.groupBy("lang", "source").agg(F.sum("tf").alias("n")), ["lang", "source"], "left").join(langs, "lang", "left")
-              .na.fill(0, ["n", "terms", "lang_total"]))
+              .join(counts.groupBy("lang", "source").agg(F.sum("tf").alias("n")), ["lang", "source"], "left").join(langs.select("lang", "terms"), "lang", "left")
+              .na.fill(0, ["n", "terms"]))
     groups = stored(groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
                     .withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy("lang"))), "groups")
     grid = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(blocks, F.lit(1)) - 1)))
@@ -158,8 +155,8 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200) -> DataFrame:
     cells = slices.groupBy("lang", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "block")
     pairs = cells.applyInArrow(_cell, "lang string, source string, item string, value bigint").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
-    each = counts.join(grid.select("lang", "source", "block", "n", "terms", "lang_total"), ["lang", "source", "block"])
-    each = each.withColumn("p", share("tf", "n", "terms")).withColumn("q", share("lang_tf", "lang_total", "terms")).where("p > q")
+    each = counts.join(grid.select("lang", "source", "block", "n", "terms"), ["lang", "source", "block"])
+    each = each.withColumn("p", share("tf", "n", "terms")).where("p > q")
     each = each.select("lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     part = lambda df, name: df.select("lang", "source", F.lit(name).alias("part"), "item", "value", rank.alias("rank"))

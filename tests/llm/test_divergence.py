@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from tagwise.llm import divergence as D
-from tagwise.llm.tokens import PIECE, TERMS, WORDS, split
+from tagwise.llm.tokens import TERMS, WORDS, row_words, split
+from tagwise.llm.words import PIECE
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 S = 10**9
@@ -83,3 +84,17 @@ def test_long_texts_are_cut_between_words():
     text = ("Ab cÉ9d " * (PIECE // 5)).encode() + b"x" * (2 * PIECE + 5) + b" End"
     assert sum(split(text, WORDS), []) == text.translate(WORDS).split()
     assert sum(split(text, TERMS), []) == text.translate(TERMS).split() and sum(split(None, TERMS), []) == []
+
+
+def test_row_words_equal_a_plain_split():
+    import pyarrow as pa
+    texts = [None, "", " x", "ab", "cd Ef\tef\x0bÉ É", "é1é-Z " * 700, "  ", "y" * (2 * PIECE + 9) + " z", "Ab c " * PIECE]
+    column = pa.array([t and t.encode() for t in texts], pa.binary())
+    for table, pattern in ((WORDS, r"[^\x20\x09-\x0D]+"), (TERMS, r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")):
+        got = {}
+        for rows, words, n in row_words(column, table):
+            for row, word, k in zip(rows.tolist(), words.to_pylist(), n.tolist(), strict=True):
+                assert (row, word) not in got
+                got[row, word.decode()] = k
+        want = {(i, w): k for i, t in enumerate(texts) for w, k in Counter(re.findall(pattern, (t or "").translate(LOWER))).items()}
+        assert got == want
