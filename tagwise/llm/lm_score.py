@@ -33,7 +33,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS, ADDED = 2, 0.1
 #: Words that make up this share of all words or more are broadcast; there are at most 1 / HEAD
 #: of them, and the end.
-HEAD = 1 / 200_000
+HEAD = 1 / 500_000
 #: Words of up to so many characters are summed side by side, others one by one.
 SHORT = 64
 #: Longer words teach in stretches of so many characters; they are scored whole.
