@@ -137,6 +137,16 @@ def q_l9(spark, sf):
                      F.lit(",".join(classes)).alias("classes"))
 
 
+@register("multi_hot_sparse", covers="L9", sql=with_views("store") + """
+, t AS (SELECT id, CASE WHEN len(coalesce(techniques, [])) = 0 THEN ['none'] ELSE techniques END AS t FROM store),
+c AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS place FROM (SELECT DISTINCT unnest(t) AS label FROM t))
+SELECT id, string_agg(DISTINCT place, ',' ORDER BY place) AS places FROM (SELECT id, unnest(t) AS label FROM t) JOIN c USING (label) GROUP BY id""")
+def q_l9_sparse(spark, sf):
+    """The non-zero columns of every row's vector over all learned classes."""
+    s = fixtures.store(spark, sf)
+    return LO.multi_hot_sparse(s, LO.class_index(s)).select("id", F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
 SUB = with_views("submitted")
 
 
