@@ -15,7 +15,6 @@ import pyarrow as pa
 PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_RADIX = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -41,13 +40,13 @@ def _letters(lower: bool) -> np.ndarray:
 _TABLES = {False: _letters(False), True: _letters(True)}
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(max(n, 1), _RADIX)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+def _keys(n: int) -> np.ndarray:
+    """An odd key for each place in a word. Powers of one radix would let patterned words collide
+    (a Thue-Morse word and its complement cancel out modulo 2^64); unrelated keys do not."""
+    return seeds(max(n, 1), 178) | np.uint64(1)
 
 
-_POWERS = _powers(1 << 12)
+_KEYS = _keys(1 << 12)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +91,8 @@ def hash_words(buf: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[
             gaps = np.diff(np.append(s, len(p)))
             pos = np.arange(s[0], len(p)) - np.repeat(s, gaps)
             longest = int(gaps.max())
-            powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
-            hashes.append(mix64(np.add.reduceat(table[p[s[0]:]] * powers[pos], s - s[0])))
+            keys = _KEYS if longest <= len(_KEYS) else _keys(longest)
+            hashes.append(mix64(np.add.reduceat(table[p[s[0]:]] * keys[pos], s - s[0])))
             starts.append(s + a)
         a = b
     if not hashes:
