@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
+from ..operators import boosting as BO
 from ..operators import features as FE
 from ..operators import labels as LO
 from ..operators import metrics as ME
@@ -95,6 +96,26 @@ def q_m4(spark, sf):
     return ME.metrics_by_label(tst.select("id", "label", "y", "p")).withColumn("n_trees", trees)
 
 
+@register("leafwise_gbt", covers="M4 M5 R7 Q8 Q19")
+def q_m4_leafwise(spark, sf):
+    """Test metrics per label of one leaf-wise model over (row, label) rows, with the rounds grown and
+    kept and the validation loss before the first and after the last kept round."""
+    return leafwise_metrics(spark, sf, MO.MAX_ROUNDS)
+
+
+def leafwise_metrics(spark, sf, max_rounds):
+    f = checkpointed(_store_features(spark, sf))
+    train = f.where(F.col("split") == "train")
+    model = BO.fit_boosted(BO.training_rows(train, LABELS, seeded_bucket(F.col("id"), 7) >= 10, "embedding"), LABELS, max_rounds, MO.PATIENCE)
+    thr = ME.rarity_thresholds(stats.class_weights_balanced(train).select("label", "count"))
+    test = f.where(F.col("split") == "test").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    tst = ME.apply_thresholds(MO.score_long(BO.scorer(model, spark), test, LABELS, features="embedding"), thr, inclusive=True)
+    loss = model.losses or [None]
+    return (ME.metrics_by_label(tst.select("id", "label", "y", "p"))
+            .withColumn("rounds_kept", F.lit(len(model.trees))).withColumn("rounds_grown", F.lit(model.grown))
+            .withColumn("first_loss", F.lit(loss[0]).cast("double")).withColumn("best_loss", F.lit(min(loss)).cast("double")))
+
+
 B = duck_seeded_bucket("id")
 
 
