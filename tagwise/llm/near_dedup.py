@@ -13,7 +13,10 @@ listed: in each turn a class is held against a few pivots of its buckets, classe
 join get one label, and a bucket counts again only while it holds several labels. When
 the pivots close no more, the pairs of different labels that the wide sketch cannot rule
 out are confirmed too, for each two labels the closest first: the pivots save work and
-drop nothing.
+drop nothing. Buckets of up to ``BUCKET`` members list these pairs. A larger one may be a
+template whose copies are no links, so its texts meet on their rarest shingles instead: with
+all shingles in one order (rarest first), two linked sets of n and m shingles share one of the
+first ``n - ceil(threshold n) + 1`` and ``m - ceil(threshold m) + 1``, which loses no link.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SAMPLES, ROWS, BITS, WIDE_BITS = 128, 4, 512, 2048
 SIGMAS = 5.0
 #: Pivots that a class is held against in one turn.
 PIVOTS = 8
+#: Largest bucket whose remaining pairs are listed; texts of larger ones meet on their rarest shingles.
+BUCKET = 64
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int, lower: bool) -> list[np.ndarray]:
@@ -94,6 +99,18 @@ def _featurise(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterat
                                               pa.array(signed(keys[:, 1].copy())), listed(bands), listed(sketch), listed(wide)], names=_FEATURES.names)
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], k: int, lower: bool) -> Iterator[pa.RecordBatch]:
+    """One row for each distinct shingle of a text; ``t`` tells apart the texts of one id."""
+    for batch in batches:
+        buf, offs = text_buffer(batch.column(1))
+        for a, b in row_slices(offs):
+            sets = shingle_sets(buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a], k, lower)
+            n = np.array([len(s) for s in sets])
+            t = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), n))), pa.array(signed(np.repeat(t, n))),
+                                              pa.array(np.repeat(n, n)), pa.array(signed(np.concatenate(sets)))], names=["id", "t", "n", "h"])
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch], k: int, lower: bool, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lefts, rights = text_buffer(batch.column(2)), text_buffer(batch.column(3))
@@ -145,10 +162,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = _open_members(members, labels)
         turn += 1
     # What is left: pairs of different labels in one bucket that the wide sketches cannot rule out.
-    side = members.join(reps.select("id", "n", "wide"), "id")
+    large = stored(members.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BUCKET).select("key"), "large")
+    crowd = stored(members.join(large, "key", "left_semi").select("id").distinct(), "crowd")
+    side = members.join(large, "key", "left_anti").join(reps.select("id", "n", "wide"), "id")
     a, b = (side.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "wide")]) for s in "ab")
     gap = _differing("wide_a", "wide_b", WIDE_BITS) / (F.col("n_a") + F.col("n_b"))
-    left = stored(a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & _not_ruled_out(percent))
+    listed = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("label_a") != F.col("label_b")) & _not_ruled_out(percent))
+    rare = confirm.rare_pairs(crowd)
+    for s in "ab":
+        rare = rare.join(labels.join(reps.select("id", "n", "wide"), "id").select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "label", "wide")]), f"id_{s}")
+    left = stored(listed.unionByName(rare.where((F.col("label_a") != F.col("label_b")) & _not_ruled_out(percent)), allowMissingColumns=True)
                   .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), gap.alias("gap")).distinct(), "left")
     # For each two labels the closest pair first, while such pairs are links; then all the others.
     while True:
@@ -214,6 +237,20 @@ class _Confirm:
         self.texts = stored(texts.join(labels.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]), "texts")
         self.reps, self.k, self.lower, self.percent = reps, k, lower, percent
 
+    def rare_pairs(self, ids: DataFrame) -> DataFrame:
+        """``(id_a, id_b)``, id_a < id_b: pairs of ``ids`` that share one of their rarest shingles
+        and whose sizes allow a link."""
+        k, lower, percent = self.k, self.lower, self.percent
+        texts = self.texts.join(ids.hint("merge"), "id", "left_semi").select("id", "text")
+        rows = stored(texts.mapInArrow(lambda it: _shingle_rows(it, k, lower), "id long, t long, n long, h long"), "shingles")
+        often = rows.groupBy("h").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("id", "t").orderBy("df", "h"))
+        first = rows.join(often, "h").withColumn("place", place).where((100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n")) & (F.col("df") > 1))
+        first = stored(first.select("h", "id", "n"), "rarest")
+        a, b = (first.select("h", F.col("id").alias(f"id_{s}"), F.col("n").alias(f"m_{s}")) for s in "ab")
+        near = (F.col("id_a") < F.col("id_b")) & (100 * F.least("m_a", "m_b") >= percent * F.greatest("m_a", "m_b"))
+        return a.join(b, "h").where(near).select("id_a", "id_b").distinct()
+
     def __call__(self, pairs: DataFrame, checked: bool = False) -> DataFrame:
         k, lower, percent = self.k, self.lower, self.percent
         if not checked:
