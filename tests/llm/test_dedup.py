@@ -7,7 +7,6 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tagwise.llm import near_dedup
 from tagwise.llm.exact_dedup import build_index, directory, exact_groups
 from tagwise.llm.graph import components
 from tagwise.llm.near_dedup import near_duplicates, sketch_limit
@@ -59,40 +58,6 @@ def test_near_duplicate_chain_beyond_the_pivot(spark):
     assert len(set(got.values())) == 2
 
 
-def template_texts(n, seed=11):
-    """Texts of one template with words of their own: a similarity of about 0.54; every tenth one has a
-    near copy, every twentieth a longer chain of them."""
-    r, out = np.random.default_rng(seed), []
-    base = [f"b{i}" for i in range(140)]
-    for i in range(n):
-        own = base + [f"o{r.integers(1 << 40)}" for _ in range(60)]
-        out.append(own)
-        for j in range(2 if i % 20 == 0 else i % 10 == 0):
-            out.append(own[:190 - 5 * j] + [f"c{i}_{j}_{m}" for m in range(10)])
-    return [" ".join(w) for w in out]
-
-
-def test_templates_that_are_no_links_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BUCKET", 3)
-    texts = template_texts(120) + ["", None, "one", "one"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(rows, shingle_words=2).collect()}
-    assert got == brute_near(texts, 2)
-
-
-def test_rare_pairs_hold_every_link(spark):
-    # Word sets near the threshold, drawn from few words so that rare shingles are shared.
-    r = np.random.default_rng(2)
-    texts = [" ".join(f"w{x}" for x in sorted(r.choice(60, r.integers(51, 57), replace=False))) for _ in range(90)]
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    ids = rows.select("id")
-    confirm = near_dedup._Confirm(rows, ids, ids, 1, True, 80)
-    pairs = {(p.id_a, p.id_b) for p in confirm.rare_pairs(ids).collect()}
-    sets = [set(t.split()) for t in texts]
-    links = {(i, j) for j in range(90) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    assert links and links <= pairs
-
-
 def test_near_duplicates_odd_rows(odd, empty):
     rows = sorted(near_duplicates(odd, shingle_words=2).collect(), key=str)
     by = defaultdict(list)
