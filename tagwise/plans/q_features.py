@@ -16,7 +16,7 @@ from .sqlviews import with_views
 
 B = duck_seeded_bucket("id")
 # DuckDB: char_wb n-grams of the cleaned text, one row per occurrence
-_GRAMS = (
+GRAMS = (
     "SELECT id, substr(w, i, n) AS term FROM ("
     "  SELECT id, ' ' || w0 || ' ' AS w FROM (SELECT id, unnest(list_filter(string_split_regex(lower(cleaned), '\\s+'), lambda x: x <> '')) AS w0 FROM {src})) ws,"
     "  (SELECT unnest([3, 4, 5]) AS n) ns, LATERAL (SELECT unnest(range(1, length(w) - n + 2)) AS i) r"
@@ -24,7 +24,7 @@ _GRAMS = (
 CLEAN = f"SELECT id, {D.clean_text('content')} AS cleaned FROM posts"
 BASE = with_views("posts", extra=[
     ("docs", CLEAN), ("tr", f"SELECT * FROM docs WHERE {B} < 60"),
-    ("g_tr", _GRAMS.format(src="tr")),
+    ("g_tr", GRAMS.format(src="tr")),
     ("vocab0", "SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM g_tr GROUP BY term"),
     ("vocab", "SELECT term, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, "
               "CAST(row_number() OVER (ORDER BY tf DESC, term) AS BIGINT) AS rank, "
@@ -46,7 +46,7 @@ def _vocab(spark, sf):
     return FE.fit_vocabulary(_train(spark, sf), "cleaned")
 
 
-@register("char_ngrams", covers="TF1", sql=BASE + ", g AS (" + _GRAMS.format(src="docs") + f""")
+@register("char_ngrams", covers="TF1", sql=BASE + ", g AS (" + GRAMS.format(src="docs") + f""")
 SELECT id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct,
        CAST(sum({duck_md5_u32('term')}) AS BIGINT) AS checksum FROM g GROUP BY id""")
 def q_tf1(spark, sf):
@@ -67,7 +67,7 @@ def q_tf3(spark, sf):
     return FE.smoothed_idf(_vocab(spark, sf)).select("term", F.round("idf", 6).alias("idf"))
 
 
-@register("tfidf_transform", covers="TF4 J10", sql=BASE + ", g AS (" + _GRAMS.format(src="docs") + f"""),
+@register("tfidf_transform", covers="TF4 J10", sql=BASE + ", g AS (" + GRAMS.format(src="docs") + f"""),
 tfc AS (SELECT g.id, g.term, count(*) AS tf, first(idf.idf) AS idf FROM g JOIN idf ON g.term = idf.term GROUP BY g.id, g.term),
 wt AS (SELECT id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id)) AS weight FROM tfc),
 wr AS (SELECT id, term, round(weight, 9) AS weight FROM wt),

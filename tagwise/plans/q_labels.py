@@ -199,7 +199,10 @@ def q_l15(spark, sf):
     return LO.numbered_list_rows(conv, "text", 25, ["conv_id", "turn"])
 
 
-@register("json_or_raw", covers="L16")
+@register("json_or_raw", covers="L16", sql="""
+WITH p AS (SELECT 'e' || CAST(event_id AS VARCHAR) AS event_id, props AS payload FROM events
+           UNION ALL SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR), text FROM conversations WHERE role = 'assistant')
+SELECT event_id, coalesce(json_valid(payload), false) AS is_json, CASE WHEN json_valid(payload) THEN CAST(json(payload) AS VARCHAR) ELSE payload END AS analysis FROM p""")
 def q_l16(spark, sf):
     ev = conv_text.event_payloads(spark, sf)
     return LO.json_or_raw(ev, "payload").select("event_id", "is_json", "analysis")

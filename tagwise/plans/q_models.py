@@ -19,6 +19,9 @@ from ..operators import split as S
 from ..operators import stats
 from ..session import checkpointed, scratch_path
 from ..sources import fixtures, io
+from . import q_features as QF
+from . import q_spans as SPQ
+from .q_splits import SPLIT_60_20_20
 from .registry import register
 from .sqlviews import with_views
 from ..functions.hashing import duck_seeded_bucket, seeded_bucket
@@ -41,7 +44,18 @@ def _features(spark, sf):
     return FE.assemble(tf.join(flags, "id"), "tfidf", flag_cols)
 
 
-@register("feature_assembly", covers="TF5 J9")
+FEATURE_SQL = QF.BASE + f"""
+, ptr AS ({SPQ.TRAIN}), d0 AS ({SPQ.DICT_SQL.replace('FROM tr)', 'FROM ptr)')}), dict AS (SELECT id, label, unnest(phrases) AS phrase FROM d0),
+ph AS (SELECT DISTINCT label, phrase FROM dict WHERE length(phrase) >= 2), flags AS ({SPQ.FLAGS_SQL}),
+g AS ({QF.GRAMS.format(src='docs')}), split AS ({SPLIT_60_20_20})"""
+_FLAGS = " + ".join(f"trigger_present_{x}" for x in LABELS)
+
+
+@register("feature_assembly", covers="TF5 J9", sql=FEATURE_SQL + f"""
+, nz AS (SELECT g.id, count(DISTINCT g.term) AS n FROM g JOIN vocab v ON g.term = v.term GROUP BY g.id)
+SELECT f.id, s.split, CAST((SELECT count(*) FROM vocab) + {len(LABELS)} AS INTEGER) AS n_features,
+       CAST(coalesce(nz.n, 0) + {_FLAGS} AS INTEGER) AS nnz
+FROM flags f JOIN split s ON f.id = s.id LEFT JOIN nz ON f.id = nz.id""")
 def q_tf5(spark, sf):
     from pyspark.ml.functions import vector_to_array
     f = _features(spark, sf)

@@ -14,6 +14,8 @@ from ..session import scratch_path
 from ..sources import fixtures, io
 from ..sources.fixtures import python_list_text
 from . import duckfn as D
+from .common import r6
+from .q_vectors import chunk_views, duck_encode, encoded
 from .registry import register
 from .sqlviews import python_list_text as duck_python_list_text
 from .sqlviews import with_views
@@ -178,7 +180,7 @@ def bulk_load(store, docs):
     rejects = docs.where(F.col("content").isNull()).select("id", F.lit("no text").alias("reason"), "techniques", "manipulative")
     spans = F.coalesce("trigger_words", F.array().cast(docs.schema["trigger_words"].dataType))
     pieces = F.transform(SP.span_slices(F.col("content"), spans), lambda p: TX.clean_for_embedding(p))
-    d = ok.withColumn("_v", V.embed_many_udf(F.concat(F.array(TX.clean_for_embedding(F.col("content"))), pieces))) \
+    d = ok.withColumn("_v", F.transform(F.concat(F.array(TX.clean_for_embedding(F.col("content"))), pieces), lambda p: V.embed(p))) \
           .withColumn("_w", F.transform(SP.span_weights(F.col("content"), spans), lambda x: x["weight"]))
     base, sv = F.col("_v")[0], F.slice("_v", 2, F.size("_v"))
     usable = (F.size("_w") > 0) & (F.size("_w") == F.size(sv)) & ~F.exists("_w", lambda w: w.isNull())
@@ -186,15 +188,43 @@ def bulk_load(store, docs):
     return io.store_upsert(store, d.select("id", emb.alias("embedding"), "techniques", "manipulative"), stamp=False), rejects
 
 
-@register("store_bulk_load", covers="S11 L1 P13 A6 A7 A8 A10")
+_SPAN = "substr(content, least(greatest(tw[1], 0), n) + 1, greatest(least(tw[2], n) - least(greatest(tw[1], 0), n), 0))"
+_BULK_SQL = chunk_views(
+    "store", "label_text",
+    before=[("loads", f"SELECT l.id, CASE WHEN CAST(l.id AS BIGINT) % 17 = 0 THEN NULL ELSE l.content END AS content, {D.bracket_split('l.techniques_text')} AS techniques, "
+                      "coalesce(CAST(l.manipulative AS BOOLEAN), false) AS manipulative, p.trigger_words FROM label_text l LEFT JOIN posts p ON l.id = p.id")],
+    docs=f"SELECT id, {D.clean_for_embedding('content')} AS t FROM loads WHERE content IS NOT NULL AND id NOT IN (SELECT id FROM store)",
+    extra=[
+        ("sw", f"SELECT id, 0.5 * ((1.0 - tw[1] / n * 0.3) + length({_SPAN}) / n) AS w, CAST({duck_encode(D.clean_for_embedding(_SPAN))} AS DOUBLE[]) AS raw_v FROM (SELECT id, content, "
+               "length(content) AS n, unnest(trigger_words) AS tw FROM loads WHERE content <> '' AND id NOT IN (SELECT id FROM store)) _s"),
+        ("sv", f"SELECT id, w, {encoded('raw_v')} AS v FROM sw"),
+        ("parts", "SELECT id, i, CAST(1 AS DOUBLE) AS w, CAST(v[i] AS DOUBLE) AS x FROM (SELECT id, v, unnest(range(1, 65)) AS i FROM m) _m "
+                  "UNION ALL SELECT id, i, CAST(w AS DOUBLE) AS w, CAST(v[i] AS DOUBLE) AS x FROM (SELECT id, w, v, unnest(range(1, 65)) AS i FROM sv) _v"),
+        ("vec", "SELECT id, i, sum(w * x) / sum(w) AS c FROM parts GROUP BY id, i UNION ALL SELECT id, i, CAST(embedding[i] AS DOUBLE) AS c "
+                "FROM (SELECT id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM store) _e"),
+        ("digest", f"SELECT id, {r6('sum(c)')} AS component_sum, {r6('sqrt(sum(c * c))')} AS norm FROM vec GROUP BY id"),
+        ("kept", "SELECT id, techniques, CAST(manipulative AS BOOLEAN) AS manipulative FROM store UNION ALL "
+                 "SELECT id, techniques, manipulative FROM loads WHERE content IS NOT NULL AND id NOT IN (SELECT id FROM store)")])
+
+
+@register("store_bulk_load", covers="S11 L1 P13 A6 A7 A8 A10", sql=_BULK_SQL + """
+SELECT k.id, array_to_string(k.techniques, ',') AS techniques, k.manipulative, CAST(NULL AS VARCHAR) AS reason, d.component_sum, d.norm
+FROM kept k LEFT JOIN digest d ON k.id = d.id
+UNION ALL SELECT id, array_to_string(techniques, ','), manipulative, 'no text', NULL, NULL FROM loads WHERE content IS NULL""")
 def q_s11(spark, sf):
     """Bulk load: parse the label text (L1), default the flag, embed (chunk, encode,
     mean, spans), insert new ids into the store; rows without text go to rejects. Returns
-    both, with the reason of a reject."""
+    both, with the reason of a reject; vectors by the sum of their components and their length.
+    The input has a null text where 17 divides the id."""
     spans = fixtures.posts(spark, sf).select("id", "trigger_words")
+    content = F.when(F.col("id").cast("bigint") % 17 != 0, F.col("content"))
     docs = fixtures.label_text(spark, sf).join(spans, "id", "left").select(
-        "id", "content", LF.labels_bracket_split(F.col("techniques_text")).alias("techniques"),
+        "id", content.alias("content"), LF.labels_bracket_split(F.col("techniques_text")).alias("techniques"),
         F.coalesce(F.col("manipulative"), F.lit(False)).alias("manipulative"), "trigger_words")
     store = fixtures.store(spark, sf).select("id", F.col("embedding").cast("array<double>"), "techniques", "manipulative")
     loaded, rejects = bulk_load(store, docs)
-    return loaded.unionByName(rejects, allowMissingColumns=True)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    return loaded.unionByName(rejects, allowMissingColumns=True).select(
+        "id", F.array_join("techniques", ",").alias("techniques"), "manipulative", "reason",
+        F.round(total, 6).alias("component_sum"), F.round(length, 6).alias("norm"))

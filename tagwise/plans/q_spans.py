@@ -88,13 +88,17 @@ def q_g17(spark, sf):
 NORM = r"[^\p{L}\p{N}_]+"
 
 
-@register("trigger_presence", covers="J7", sql=DICT + f"""
-, ph AS (SELECT DISTINCT label, phrase FROM dict WHERE length(phrase) >= 2),
-ct AS (SELECT id, ' ' || {D.rx(D.clean_text('content'), NORM, ' ')} || ' ' AS t FROM posts),
+#: One row per post with a flag for each label, from ``ph (label, phrase)`` and ``posts``.
+FLAGS_SQL = f"""
+WITH ct AS (SELECT id, ' ' || {D.rx(D.clean_text('content'), NORM, ' ')} || ' ' AS t FROM posts),
 hit AS (SELECT DISTINCT ct.id, ph.label FROM ct, ph WHERE instr(ct.t, ' ' || {D.rx('ph.phrase', NORM, ' ')} || ' ') > 0)
 SELECT ct.id, """ + ", ".join(
     f"CAST(coalesce(max(CASE WHEN hit.label = '{x}' THEN 1 END), 0) AS INTEGER) AS trigger_present_{x}"
-    for x in vocab.CANONICAL_LABELS) + " FROM ct LEFT JOIN hit ON ct.id = hit.id GROUP BY ct.id")
+    for x in vocab.CANONICAL_LABELS) + " FROM ct LEFT JOIN hit ON ct.id = hit.id GROUP BY ct.id"
+
+
+@register("trigger_presence", covers="J7", sql=DICT + f"""
+, ph AS (SELECT DISTINCT label, phrase FROM dict WHERE length(phrase) >= 2), flags AS ({FLAGS_SQL}) SELECT * FROM flags""")
 def q_j7(spark, sf):
     texts = fixtures.posts(spark, sf).select("id", T.clean_text(F.col("content")).alias("cleaned"))
     return SP.trigger_presence(texts, _dictionary(spark, sf), vocab.CANONICAL_LABELS)

@@ -25,8 +25,10 @@ def q_r1(spark, sf):
     return S.split_80_20(_posts(spark, sf)).select("id", "split")
 
 
-@register("split_60_20_20", covers="R2", sql=P + f"""
-SELECT id, CASE WHEN {B} < 60 THEN 'train' WHEN {B} < 80 THEN 'val' ELSE 'test' END AS split FROM posts""")
+SPLIT_60_20_20 = f"SELECT id, CASE WHEN {B} < 60 THEN 'train' WHEN {B} < 80 THEN 'val' ELSE 'test' END AS split FROM posts"
+
+
+@register("split_60_20_20", covers="R2", sql=P + SPLIT_60_20_20)
 def q_r2(spark, sf):
     return S.split_60_20_20(_posts(spark, sf)).select("id", "split")
 

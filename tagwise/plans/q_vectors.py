@@ -89,13 +89,60 @@ def q_a8(spark, sf):
                     "n_vectors")
 
 
-@register("chunk_by_budget", covers="A6 Q4")
+def duck_encode(t: str) -> str:
+    h = "('0x' || substr(md5(x), 1, 8))::BIGINT"
+    toks = f"list_filter(string_split('passage: ' || {t}, ' '), lambda x: x <> '')"
+    bs = (f"list_transform({toks}, lambda x: {{'b': {h} % 64, "
+          f"'s': CASE WHEN ({h} // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END}})")
+    v = (f"list_transform(range(64), lambda j: coalesce(list_sum(list_transform(list_filter({bs}, "
+         f"lambda x: x.b = j), lambda x: x.s)), 0.0))")
+    return v
+
+
+def chunk_ctes(docs: str, budget: int = 512) -> list[tuple[str, str]]:
+    """DuckDB: ``chunks (id, chunk_no, chunk, n_words)`` of a query giving (id, t). Running costs of
+    the words, then one step of a recursion per chunk: as many words as the budget holds."""
+    words = D.split_ws("coalesce(t, '')")
+    run = "list_transform(range(1, len(w) + 1), lambda i: list_sum(list_transform(w[1:i], lambda x: 1 + CAST(ceil(length(x) / 4.0) AS BIGINT))))"
+    end = "greatest(past + 1, len(list_filter(run, lambda s: s <= (CASE WHEN past = 0 THEN 0 ELSE run[past] END) + {b})))".replace("{b}", str(budget))
+    return [
+        ("cw", f"SELECT id, w, {run} AS run FROM (SELECT id, {words} AS w FROM ({docs}) _d) _w"),
+        ("cuts", "SELECT id, 0 AS chunk_no, w, run, CAST(0 AS BIGINT) AS past, "
+                 f"least(CAST({end} AS BIGINT), len(w)) AS upto FROM (SELECT *, 0 AS past FROM cw) _c "
+                 "UNION ALL SELECT id, chunk_no + 1, w, run, past, "
+                 f"least(CAST({end} AS BIGINT), len(w)) AS upto FROM (SELECT id, chunk_no, w, run, upto AS past FROM cuts WHERE upto < len(w)) _n"),
+        ("chunks", "SELECT id, CAST(chunk_no AS INTEGER) AS chunk_no, array_to_string(w[past + 1:upto], ' ') AS chunk, "
+                   "CAST(upto - past AS INTEGER) AS n_words FROM cuts")]
+
+
+def encoded(vec: str) -> str:
+    """DuckDB: a list of doubles over its length; zeros stay."""
+    n = f"sqrt(list_sum(list_transform({vec}, lambda y: y * y)))"
+    return f"CASE WHEN {n} > 0 THEN list_transform({vec}, lambda x: x / {n}) ELSE {vec} END"
+
+
+def chunk_views(*views: str, docs: str, before: list[tuple[str, str]] | None = None,
+                extra: list[tuple[str, str]] | None = None) -> str:
+    """``WITH RECURSIVE`` clause of the views, ``before``, the chunks of ``docs`` and ``m (id, n_vectors, v)``, the
+    mean of their vectors."""
+    means = [("cv", f"SELECT id, {duck_encode('chunk')} AS raw_v FROM chunks"),
+             ("cn", f"SELECT id, {encoded('raw_v')} AS v FROM cv"),
+             ("m", "SELECT id, any_value(n) AS n_vectors, list(c ORDER BY i) AS v FROM (SELECT id, i, avg(v[i]) AS c, count(*) AS n "
+                   "FROM (SELECT id, v, unnest(range(1, 65)) AS i FROM cn) _e GROUP BY id, i) _g GROUP BY id")]
+    return with_views(*views, extra=(before or []) + chunk_ctes(docs) + means + (extra or [])).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+CLEANED = f"SELECT id, {D.clean_for_embedding('content')} AS t FROM posts"
+
+
+@register("chunk_by_budget", covers="A6 Q4", sql=chunk_views("posts", docs=CLEANED) + "SELECT id, chunk_no, n_words FROM chunks")
 def q_a6(spark, sf):
     docs = fixtures.posts(spark, sf).select("id", T.clean_for_embedding(F.col("content")).alias("t"))
     return V.chunk_and_embed(docs, "t", budget=512).select("id", "chunk_no", "n_words")
 
 
-@register("embed_chunks", covers="A7 A8")
+@register("embed_chunks", covers="A7 A8", sql=chunk_views("posts", docs=CLEANED) + f"""
+SELECT id, CAST(n_vectors AS BIGINT) AS n_vectors, {r6('sqrt(list_sum(list_transform(v, lambda x: x * x)))')} AS norm FROM m""")
 def q_a7(spark, sf):
     docs = fixtures.posts(spark, sf).select("id", T.clean_for_embedding(F.col("content")).alias("t"))
     ch = V.chunk_and_embed(docs, "t", budget=512)
@@ -104,16 +151,6 @@ def q_a7(spark, sf):
                                                                  lambda a, x: a + x * x)), 6).alias("norm"))
 
 
-def _duck_encode(t: str) -> str:
-    h = "('0x' || substr(md5(x), 1, 8))::BIGINT"
-    toks = f"list_filter(string_split('passage: ' || {t}, ' '), lambda x: x <> '')"
-    bs = (f"list_transform({toks}, lambda x: {{'b': {h} % 64, "
-          f"'s': CASE WHEN ({h} // 64) % 2 = 0 THEN 1.0 ELSE -1.0 END}})")
-    v = (f"list_transform(range(64), lambda j: coalesce(list_sum(list_transform(list_filter({bs}, "
-         f"lambda x: x.b = j), lambda x: x.s)), 0.0))")
-    return v
-
-
 def _enrich_sql(weighted: bool) -> str:
     n = "length(s.original_text)"
     piece = "substr(original_text, least(greatest(tw[1], 0), n) + 1, greatest(least(tw[2], n) - least(greatest(tw[1], 0), n), 0))"
@@ -121,7 +158,7 @@ def _enrich_sql(weighted: bool) -> str:
     return with_views("store") + f"""
 , sp AS (SELECT s.id, {n} AS n, unnest(s.trigger_positions) AS tw, s.original_text FROM store s WHERE len(s.embedding) > 0),
 sv AS (SELECT id, {w} AS w, raw_v FROM (SELECT id, n, tw, original_text,
-        {_duck_encode(D.clean_for_embedding('substr(original_text, least(greatest(tw[1], 0), n) + 1, greatest(least(tw[2], n) - least(greatest(tw[1], 0), n), 0))'))} AS raw_v
+        {duck_encode(D.clean_for_embedding('substr(original_text, least(greatest(tw[1], 0), n) + 1, greatest(least(tw[2], n) - least(greatest(tw[1], 0), n), 0))'))} AS raw_v
         FROM sp) s2),
 svn AS (SELECT id, w, CASE WHEN sqrt(list_sum(list_transform(raw_v, lambda x: x * x))) > 0
         THEN list_transform(raw_v, lambda x: x / sqrt(list_sum(list_transform(raw_v, lambda y: y * y)))) ELSE raw_v END AS v FROM sv),
@@ -137,7 +174,7 @@ def _enrich(spark, sf, weighted: bool):
     pieces = SP.span_slices(F.col("original_text"), F.col("trigger_positions"))
     cleaned = F.transform(pieces, lambda p: T.clean_for_embedding(p))
     df = s.select("id", F.col("embedding").cast("array<double>").alias("e"), "original_text", "trigger_positions",
-                  V.embed_many_udf(cleaned).alias("sv"))
+                  F.transform(cleaned, lambda p: V.embed(p)).alias("sv"))
     if weighted:
         w = F.transform(SP.span_weights(F.col("original_text"), F.col("trigger_positions")), lambda x: x["weight"])
     else:

@@ -3,10 +3,10 @@
 import json
 
 import numpy as np
+import plain_vectors as plain
 from pyspark.sql import functions as F
 
 from tagwise.functions import text as T
-from tagwise.operators import vectors as V
 from tagwise.plans.registry import load_all
 from tagwise.sources import conv_text, fixtures
 
@@ -31,7 +31,7 @@ def test_chunk_by_budget_matches_python(spark, sf):
     docs = fixtures.posts(spark, sf).select("id", T.clean_for_embedding(F.col("content")).alias("t")).collect()
     want = {}
     for d in docs:
-        for i, ch in enumerate(V.chunk_words(d.t or "", 512)):
+        for i, ch in enumerate(plain.chunk_words(d.t or "", 512)):
             want[(d.id, i)] = len(ch.split())
     assert got == want
 
@@ -40,8 +40,8 @@ def test_embed_chunks_norm_matches_numpy(spark, sf):
     got = {r.id: (r.n_vectors, r.norm) for r in REG["embed_chunks"].fn(spark, sf).collect()}
     docs = fixtures.posts(spark, sf).select("id", T.clean_for_embedding(F.col("content")).alias("t")).collect()
     for d in docs:
-        chunks = V.chunk_words(d.t or "", 512)
-        mean = np.mean([V.encode_text(c) for c in chunks], axis=0)
+        chunks = plain.chunk_words(d.t or "", 512)
+        mean = np.mean([plain.encode_text(c) for c in chunks], axis=0)
         n, norm = got[d.id]
         assert n == len(chunks) and abs(norm - round(float(np.linalg.norm(mean)), 6)) < 1e-6
 

@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+import plain_vectors as plain
 from pyspark.sql import functions as F
 
 from tagwise.operators import models as MO
@@ -12,19 +14,33 @@ from tagwise.operators import vectors as V
 from tagwise.sources import fixtures
 
 
-def test_chunking_budget_and_edges():
-    assert V.chunk_words("", 10) == V.chunk_words(None, 10) == V.chunk_words(" \n", 10) == [""]    # no document is lost
-    long = "x" * 100
-    assert V.chunk_words(f"a {long} b", 5) == ["a", long, "b"]       # over-long word alone, no empty chunk
-    words = " ".join(f"w{i}" for i in range(50))
-    chunks = V.chunk_words(words, 7)
-    assert " ".join(chunks) == words                                   # chunks re-join to the input
-    assert all(sum(V.token_cost(w) for w in c.split()) <= 7 for c in chunks)
+def test_chunks_and_vectors_match_plain_forms(spark):
+    long, words = "x" * 100, " ".join(f"w{i}" for i in range(50))
+    texts = ["", None, " \n", f"a {long} b", long, words, " two\twords\n", "a a a b", "žluť 日本語 слово " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for budget in (5, 7, 512):
+        got = {r.id: r for r in df.select("id", V.chunks(F.col("t"), budget).alias("c"), V.embed(F.col("t"), budget).alias("v")).collect()}
+        for i, t in enumerate(texts):
+            assert got[i].c == plain.chunk_words(t, budget)
+            assert np.allclose(got[i].v, plain.embed_text(t, budget))
+    assert plain.chunk_words("") == [""]                               # no document is lost
 
 
-def test_encoder_is_deterministic_and_unit():
-    a, b = V.encode_text("hello world"), V.encode_text("hello world")
-    assert np.allclose(a, b) and abs(np.linalg.norm(a) - 1.0) < 1e-12
+def test_costs_and_encoder_can_be_replaced(spark):
+    @F.pandas_udf("array<int>")
+    def letters(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: [len(w) for w in ws])
+
+    df = spark.createDataFrame([("1", "aaa bb c dddd"), ("2", None)], "id string, t string")
+    rows = V.chunk_and_embed(df, "t", budget=5, costs=letters, encoder=lambda c: F.array(F.length(c).cast("double"))).collect()
+    assert sorted((r.id, r.chunk_no, r.chunk, r.n_words, r.vector) for r in rows) == [
+        ("1", 0, "aaa bb", 2, [6.0]), ("1", 1, "c dddd", 2, [6.0]), ("2", 0, "", 0, [0.0])]
+
+
+def test_long_text_in_chunks(spark):
+    df = spark.range(1).select(F.col("id").cast("string").alias("id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("t"))
+    r = V.chunk_and_embed(df, "t").agg(F.sum("n_words").alias("n"), F.count("vector").alias("c")).first()
+    assert r.n == 200_000 and r.c > 1000
 
 
 def test_knn_tiles_and_leaves_out_the_query(spark, sf, monkeypatch):
