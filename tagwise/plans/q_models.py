@@ -12,8 +12,10 @@ from ..functions import text as T
 from ..operators import boosting as BO
 from ..operators import features as FE
 from ..operators import labels as LO
+from ..operators import linear as LIN
 from ..operators import metrics as ME
 from ..operators import models as MO
+from ..operators import oversample as OS
 from ..operators import spans as SP
 from ..operators import split as S
 from ..operators import stats
@@ -67,7 +69,10 @@ def q_tf5(spark, sf):
 def _tuned_metrics(spark, sf, kind: str):
     """Test metrics per label, with the solver's steps and the norms of its first and last gradient."""
     f = checkpointed(_features(spark, sf))
-    model = MO.fit_linear_models(f.where(F.col("split") == "train"), LABELS, kind)
+    return _model_metrics(spark, f, MO.fit_linear_models(f.where(F.col("split") == "train"), LABELS, kind), kind)
+
+
+def _model_metrics(spark, f, model, kind: str):
     scores = MO.score_long(MO.linear_scorer(model, spark), f.where(F.col("split") != "train"), LABELS)
     if kind == "svm":
         tst = scores.where(F.col("split") == "test").withColumn("p", (F.col("score") > 0).cast("int"))
@@ -84,6 +89,19 @@ def q_m1(spark, sf):
     return _tuned_metrics(spark, sf, "logistic")
 
 
+@register("ovr_logistic_oversampled", covers="M1 M2 R6 W3 E1")
+def q_m1_oversampled(spark, sf):
+    """As ``ovr_logistic``, each label fitted on its own oversampled rows in the space of the
+    features, as the reference does; with the number of synthetic rows."""
+    f = checkpointed(_features(spark, sf))
+    train = f.where(F.col("split") == "train")
+    made = checkpointed(OS.sparse_smote(train, LABELS))
+    size = train.select("features").first()[0].size
+    model = LIN.fit_linear(OS.oversampled_rows(train, made, LABELS), size, LABELS, "logistic")
+    n = F.broadcast(made.groupBy("label").agg(F.count(F.lit(1)).alias("n_synthetic")))     # one row a label
+    return _model_metrics(spark, f, model, "logistic").join(n, "label", "left").na.fill(0, ["n_synthetic"])
+
+
 @register("ovr_linear_svc", covers="M3 E1")
 def q_m3(spark, sf):
     return _tuned_metrics(spark, sf, "svm")
