@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 # Characteristic sentences of headers and licence texts.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -208,7 +210,8 @@ def scan_files(files: DataFrame, id_col: str, path_col: str, text_col: str, thre
                                                                                  enumerate((pa.string(), pa.float64(), pa.float64())))], names=["id", "path", "own", "cosine", "share"])
 
     directory = F.regexp_replace("path", "/?[^/]*$", "")
-    scanned = rows.mapInArrow(scan, schema).withColumn("dir", directory)
+    # written once: three branches below read it
+    scanned = stored(rows.mapInArrow(scan, schema).withColumn("dir", directory), "scanned")
     licence_of = (scanned.where((F.col("share") >= file_share) & F.col("dir").isNotNull()).groupBy("dir", "own").agg(F.max("share").alias("share"))
                   .groupBy("dir").agg(F.min(F.struct(-F.col("share"), "own")).alias("m")).select(F.col("dir").alias("above"), F.col("m.own").alias("theirs")))
     # Each directory once: its ancestors, itself included, meet the licence files' directories.
