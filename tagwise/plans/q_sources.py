@@ -12,6 +12,7 @@ from ..operators import synthetic as SY
 from ..operators import vectors as V
 from ..session import scratch_path
 from ..sources import fixtures, io
+from ..sources import store as ST
 from ..sources.fixtures import python_list_text
 from . import duckfn as D
 from .common import r6
@@ -172,6 +173,21 @@ def q_s10(spark, sf):
     return io.store_upsert(store, new).select("id", "origin")
 
 
+@register("store_commit", covers="S10 S11 J3", sql=with_views("store") + """
+SELECT id, manipulative, 1 AS version FROM store
+UNION ALL SELECT id, manipulative, 2 AS version FROM posts p WHERE NOT EXISTS (SELECT 1 FROM store s WHERE s.id = p.id)""")
+def q_commit(spark, sf):
+    """The store as a first commit, all posts as an insert, the same insert once more; each row
+    with the version that brought it."""
+    path, schema = scratch_path(spark, "store"), "id string, techniques array<string>, manipulative boolean, original_text string"
+    ST.append(spark, path, fixtures.store(spark, sf).select("id", "techniques", "manipulative", "original_text"), 0)
+    posts = fixtures.posts(spark, sf).select("id", "techniques", "manipulative", F.col("content").alias("original_text"))
+    ST.insert(spark, path, posts, schema)
+    last = ST.insert(spark, path, posts, schema)
+    rows = ST.read(spark, path, schema, last).select("id", "manipulative")
+    return rows.join(ST.read(spark, path, schema, 1).select("id", F.lit(1).alias("version")), "id", "left").na.fill(2, ["version"])
+
+
 def bulk_load(store, docs):
     """Store rows with the new documents (id, content, techniques, manipulative,
     trigger_words), and the rejects with their reason. A text's vector is the mean of its
