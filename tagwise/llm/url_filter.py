@@ -23,7 +23,8 @@ from .graph import stored
 # Words of unwanted trades.
 BLOCK_WORDS = ("ads adult bet bets betting casino cheap cialis cracked escort gambling hoax jackpot keygen lottery malware miracle phishing pills poker porn "
                "replica scam sex slots spam torrent viagra warez webcam xxx").split()
-LONGEST = 24
+#: Letters by which parts of a name are looked up; longer words are found by their first ones.
+HEAD = 24
 
 
 def host_of(url: Column) -> Column:
@@ -69,7 +70,7 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     tags and host names left out."""
     plain = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), "<[^>]*>", " ")
     plain = F.regexp_replace(plain, r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", " ")
-    words = texts.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
+    words = texts.select(F.explode(F.split(F.lower(plain), "[^a-z]+")).alias("w")).where(F.length("w") >= 2)
     return stored(words.groupBy("w").agg(F.count("*").alias("n")), "counts")
 
 
@@ -85,21 +86,24 @@ class Lexicon:
         least = {w: max(1.0, total * 1e-5) for w in BLOCK_WORDS}
         self.cost = {w: -math.log(max(n + 1, least.get(w, 0)) / total) for w, n in counts.items()}
         self.unknown = math.log(total) + 4.0
+        self.long = sorted({len(w) for w in counts if len(w) > HEAD}, reverse=True)
 
     def split(self, name: str) -> list[str]:
         """Cheapest segmentation of one run of letters; of equal ones, that with the longer
-        first words. Work grows with the length times ``LONGEST``."""
+        first words. Known words of up to ``HEAD`` letters are tried at every place, longer ones
+        by their lengths. An unknown string of any length costs a price and one for each letter,
+        so the best end of it is carried along from the right."""
         n = len(name)
         best, cut = [0.0] * (n + 1), [n] * (n + 1)
+        far, end = 3.0 * n, n                      # smallest 3 b + best[b] so far, at the largest such b
         for a in range(n - 1, -1, -1):
-            best[a] = math.inf
-            for b in range(min(n, a + LONGEST), a, -1):
-                word = name[a:b]
-                price = self.cost.get(word)
-                if price is None:
-                    price = self.unknown + 3.0 * (b - a)
-                if price + best[b] < best[a]:
+            best[a], cut[a] = self.unknown - 3.0 * a + far, end
+            for b in (*(a + x for x in self.long if a + x <= n), *range(min(n, a + HEAD), a, -1)):
+                price = self.cost.get(name[a:b])
+                if price is not None and (price + best[b], -b) < (best[a], -cut[a]):
                     best[a], cut[a] = price + best[b], b
+            if 3.0 * a + best[a] < far:
+                far, end = 3.0 * a + best[a], a
         out, a = [], 0
         while a < n:
             out.append(name[a:cut[a]])
@@ -108,14 +112,14 @@ class Lexicon:
 
 
 def _pieces(runs: DataFrame) -> DataFrame:
-    """``(rid, w)``: the distinct parts of 2 to ``LONGEST`` letters of each run."""
+    """``(rid, w)``: the distinct parts of 2 to ``HEAD`` letters of each run."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rid, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = len(run)
                 for first in range(0, n, 2_000):        # a run of any length goes in short batches
-                    parts = list({run[a:b] for a in range(first, min(n, first + 2_000)) for b in range(a + 2, min(n, a + LONGEST) + 1)})
+                    parts = list({run[a:b] for a in range(first, min(n, first + 2_000)) for b in range(a + 2, min(n, a + HEAD) + 1)})
                     yield pa.RecordBatch.from_arrays([pa.array([rid] * len(parts), pa.int64()), pa.array(parts, pa.string())], names=["rid", "w"])
 
     return runs.select("rid", "run").mapInArrow(cut, "rid long, w string")
@@ -127,7 +131,11 @@ def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
     size = counts.agg(F.sum("n"), F.count("*"), F.count(F.when(F.col("w").isin(BLOCK_WORDS), 1))).first()
     total = (size[0] or 0) + size[1] + len(BLOCK_WORDS) - size[2]
     runs = stored(runs.withColumn("rid", F.monotonically_increasing_id()), "runs")
-    found = _pieces(runs).join(counts, "w").groupBy("rid").agg(F.collect_set(F.struct("w", "n")).alias("known"))
+    parts, long = _pieces(runs), F.length("w") > HEAD
+    # a longer word meets the runs that hold its first letters, and stays if they hold all of it
+    heads = counts.where(long).select(F.col("w").alias("whole"), "n", F.substring("w", 1, HEAD).alias("w"))
+    longer = parts.where(F.length("w") == HEAD).join(heads, "w").join(runs, "rid").where(F.contains("run", "whole"))
+    found = parts.join(counts.where(~long), "w").unionByName(longer.select("rid", F.col("whole").alias("w"), "n")).groupBy("rid").agg(F.collect_set(F.struct("w", "n")).alias("known"))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
