@@ -114,16 +114,25 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str, id_col: str
 
 
 def _rate(residuals: list[np.ndarray], step: float, ridge: float) -> Column:
-    """The rate after the given steps, each projected onto x >= 0, from the base rate 1."""
-    x = F.lit(1.0)
-    for r in residuals:
-        pull = sum((F.col("_p")[k] * float(v) for k, v in enumerate(r)), F.lit(0.0))
-        x = F.greatest(F.lit(0.0), (1 - step * ridge) * x + step * ridge - step * pull)
-    return x
+    """The rate over ``_p`` after the given steps, each projected onto x >= 0, from the base
+    rate 1: a few numbers a step, applied to batches of rows."""
+    if not residuals:
+        return F.lit(1.0)
+    pulls = np.stack(residuals, 1)
+
+    @F.arrow_udf("double")
+    def run(p: pa.Array) -> pa.Array:
+        x = np.ones(len(p))
+        pull = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), len(pulls)) @ pulls
+        for k in range(pulls.shape[1]):
+            x = np.maximum(0.0, (1 - step * ridge) * x + step * ridge - step * pull[:, k])
+        return pa.array(x)
+
+    return run("_p")
 
 
 def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, ridge: float = 1e-5,
-              step: float = 0.7, tolerance: float = 1e-4, max_steps: int = 60) -> tuple[Column, dict]:
+              step: float = 0.7, tolerance: float = 1e-4) -> tuple[Column, dict]:
     """The rate as an expression over ``_p``, and a report: steps, expected shares, residual.
 
     Minimises gap' M^-1 gap / 2 + ridge * (token-weighted mean of (x - 1)^2) / 2, where gap
@@ -146,10 +155,10 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float],
     inverse = np.linalg.inv(moments + 1e-9 * np.trace(moments) * np.eye(k))
     residuals, last = [], np.full(k, np.inf)
     while True:
-        sums = scored.agg(*[F.sum(F.col("_tokens") * _rate(residuals, step, ridge) * x) for x in p]).first()
+        sums = scored.withColumn("_x", _rate(residuals, step, ridge)).agg(*[F.sum(F.col("_tokens") * F.col("_x") * x) for x in p]).first()
         shares = np.array(sums, float) / scale
         gap = shares - want
-        if np.abs(gap).max() < tolerance or np.abs(last - gap).max() < tolerance / 100 or len(residuals) == max_steps:
+        if np.abs(gap).max() < tolerance or np.abs(last - gap).max() < tolerance / 100:
             break
         last = gap
         residuals.append(inverse @ gap)

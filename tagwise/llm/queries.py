@@ -117,10 +117,12 @@ def language_mix(docs, sf_dir, weights=LANGUAGE_WEIGHTS):
 
 @query("op4_soft_membership_mixing")
 def op4(spark, sf_dir):
-    """Every document's posterior over the languages, rate and copies for the target weights."""
+    """Every document's posterior over the languages, rate and copies for the target weights; with
+    the descent's steps and the largest gap that it left between expected and target shares."""
     docs = table(spark, sf_dir, "documents")
     fitted = language_mix(docs, sf_dir)
-    return fitted.rates(docs).select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(fitted.model.domains)], "rate", "copies")
+    return fitted.rates(docs).select("doc_id", "tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(fitted.model.domains)], "rate", "copies",
+                                     F.lit(fitted.report["steps"]).alias("steps"), F.lit(fitted.report["residual"]).alias("residual"))
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
