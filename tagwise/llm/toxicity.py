@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 # Words of the classes, in English, German, French and Spanish.
 INSULTS = ("idiot moron stupid scum trash loser pathetic worthless disgusting clown dumb jerk imbecile filth vermin "
            "dummkopf trottel abschaum arschloch imbécile connard ordure estúpido imbécil basura").split()
@@ -155,23 +157,23 @@ def _count_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([0] * len(keys), pa.int64()), pa.array([clean[k] for k in keys], pa.int64())], names=["stem", "a", "b"])
 
 
-def _learn_stems(sample: DataFrame, n1: int, n0: int, most: int) -> dict[str, float]:
+def _learn_stems(sample: DataFrame, n1: int, n0: int) -> dict[str, float]:
     """Shortest prefixes that toxic texts use at least e**3 times as often, where that is not
-    chance: the likelihood ratio must pass a bound that grows with the number of prefixes."""
+    chance: the likelihood ratio must pass a bound that grows with the number of prefixes. All
+    that pass are kept; the labelled sample bounds them."""
     counts = sample.mapInArrow(_count_prefixes, "stem string, a long, b long").groupBy("stem").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     p1, p0 = n1 / (n1 + n0), n0 / (n1 + n0)
     log_odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
     n = F.col("a") + F.col("b")
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * p))).otherwise(0.0)
-    rows = (counts.where("a >= 3").withColumn("w", log_odds).withColumn("g", 2 * (part("a", p1) + part("b", p0)))
-            .where("w >= 3").orderBy(F.desc("g"), "stem").limit(most).collect())
-    bound = 2 * math.log(max(len(rows), 2)) + 4
-    strong = {r.stem: r.w for r in rows if r.g >= bound}
+    rows = stored(counts.where("a >= 3").withColumn("w", log_odds).withColumn("g", 2 * (part("a", p1) + part("b", p0))).where("w >= 3"), "stems")
+    bound = 2 * math.log(max(rows.count(), 2)) + 4
+    strong = {r.stem: r.w for r in rows.where(F.col("g") >= bound).collect()}
     return {s: w for s, w in strong.items() if not any(s[:n] in strong for n in range(min(PREFIXES), len(s)))}
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-                 max_rows: int = 12_000, max_stems: int = 20_000) -> ToxicityModel:
+                 max_rows: int = 12_000) -> ToxicityModel:
     """Learn stems and the logistic layer from at most ``max_rows`` labelled rows, chosen by
     the hash of their id. Rows without a label or an id are left out; of several labels for
     one id the highest counts. With no labelled rows, or of one class only, the fixed words
@@ -185,7 +187,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     fixed = [-4.0, *[1.0, 0.5, 0.5, 1.5, 1.0, 1.0], *[0.0, 0.0, 0.0, 1.5, 0.2, 0.2], 2.0, 1.0, 0.0]
     if not (n.get(True) and n.get(False)):
         return ToxicityModel(insults, threats, fixed)
-    model = ToxicityModel(insults | _learn_stems(sample, n[True], n[False], max_stems), threats)
+    model = ToxicityModel(insults | _learn_stems(sample, n[True], n[False]), threats)
 
     def features(batches):
         stems = model.automaton()
