@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.hashing import duck_md5_u32, md5_u32, duck_seeded_bucket
+from ..functions.hashing import duck_md5_u32, md5_u32, duck_seeded_bucket, plain_md5_u32
 from ..operators import features as FE
 from ..operators import split as S
 from ..sources import fixtures
@@ -50,11 +50,8 @@ def _vocab(spark, sf):
 SELECT id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct,
        CAST(sum({duck_md5_u32('term')}) AS BIGINT) AS checksum FROM g GROUP BY id""")
 def q_tf1(spark, sf):
-    # n-grams of a row, counted where they are made: documents without any have no row
-    t = FE.doc_grams(_docs(spark, sf), "cleaned").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
-    return t.groupBy("id").agg(F.sum("n").cast("bigint").alias("n_grams"),
-                               F.count(F.lit(1)).cast("bigint").alias("n_distinct"),
-                               F.sum(md5_u32(F.col("term")) * F.col("n")).cast("bigint").alias("checksum"))
+    # documents without any n-gram have no row
+    return FE.gram_profile(_docs(spark, sf), "cleaned", plain_md5_u32, md5_u32)
 
 
 @register("tfidf_vocabulary", covers="TF2 O3", sql=BASE + "SELECT term, df, tf, rank, n_docs FROM vocab")
@@ -76,7 +73,8 @@ SELECT wr.id, count(*) AS nnz, {r6('sum(weight)')} AS l1, {r6('max(weight)')} AS
        min(CASE WHEN weight = mw THEN term END) AS top_term FROM wr JOIN mx ON wr.id = mx.id GROUP BY wr.id""")
 def q_tf4(spark, sf):
     idf = FE.smoothed_idf(_vocab(spark, sf))
-    lw = FE.tfidf_long(_docs(spark, sf), "cleaned", idf).withColumn("weight", F.round("weight", 9))
-    top = F.min_by("term", F.struct(-F.col("weight"), F.col("term")))
-    return lw.groupBy("id").agg(F.count(F.lit(1)).alias("nnz"), F.round(F.sum("weight"), 6).alias("l1"),
-                                F.round(F.max("weight"), 6).alias("max_weight"), top.alias("top_term"))
+    rows = FE.tfidf_rows(_docs(spark, sf), "cleaned", idf)
+    each = F.transform(F.arrays_zip("terms", "weights"), lambda e: F.struct((-F.round(e["weights"], 9)).alias("w"), e["terms"].alias("t")))
+    lw = rows.select("id", each.alias("e")).select("id", "e", F.array_min("e").alias("top"))
+    return lw.select("id", F.size("e").cast("bigint").alias("nnz"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a - x["w"]), 6).alias("l1"),
+                     F.round(-F.col("top.w"), 6).alias("max_weight"), F.col("top.t").alias("top_term"))
