@@ -8,19 +8,26 @@ always kept; the trees add spans that lie clear of them.
 
 Training needs no labels by hand: base spans, and their rewritings into the disguised
 spellings, are positive; other candidates, and rewritings that break a format, are
-negative. The trees are fitted on a bounded sample and applied as CASE expressions.
-All work on texts is done within the row: there is no shuffle.
+negative. The trees are fitted on the candidates of all documents: equal rows of features are
+counted in one aggregate, and each level of a tree is one pass that sums gradients by node,
+feature and value in the tasks. They are applied as CASE expressions. All work on texts is
+done within the row: no text is shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import stored
+
 KINDS = ("email", "ip", "card", "phone")
 
 # The strict patterns. The look-behinds and possessive quantifiers only keep a
@@ -187,48 +194,86 @@ def _value(t, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, t.feature] <= t.at, _value(t.low, x), _value(t.high, x))
 
 
-def _grow(x, g, h, depth, least=5.0, ridge=1.0):
-    leaf = float(-0.3 * g.sum() / (h.sum() + ridge))
-    if depth == 0 or len(x) < 2 * least:
-        return leaf
-    best = (1e-3, None, None)
-    whole = g.sum() ** 2 / (h.sum() + ridge)
-    for f in range(x.shape[1]):
-        order = np.argsort(x[:, f], kind="stable")
-        v, cg, ch = x[order, f], np.cumsum(g[order]), np.cumsum(h[order])
-        cut = np.flatnonzero(v[1:] > v[:-1])
-        cut = cut[(cut + 1 >= least) & (len(v) - cut - 1 >= least)]
-        if len(cut):
-            gain = cg[cut] ** 2 / (ch[cut] + ridge) + (cg[-1] - cg[cut]) ** 2 / (ch[-1] - ch[cut] + ridge) - whole
-            j = int(np.argmax(gain))
-            if gain[j] > best[0]:
-                best = (float(gain[j]), f, float((v[cut[j]] + v[cut[j] + 1]) / 2))
-    if best[1] is None:
-        return leaf
-    low = x[:, best[1]] <= best[2]
-    return Tree(best[1], best[2], _grow(x[low], g[low], h[low], depth - 1), _grow(x[~low], g[~low], h[~low], depth - 1))
-
-
-def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray, turns: int = 24, depth: int = 3, precision: float = 0.99) -> Boosted:
-    """Newton boosting for the log-loss on the rows outside ``held``; a kind's threshold is the
-    lowest margin at which the held-out rows have the asked precision, moved halfway to
-    the next one below, and not under even odds."""
-    fit = ~held
-    base = math.log((y[fit].sum() + 1) / ((1 - y[fit]).sum() + 1))
-    trees, margin = [], np.full(len(x), base)
+def _sums(values: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, ascending, and the sums of each."""
+    each, at = np.unique(values, return_inverse=True)
+    return each, np.stack([np.bincount(at, s, len(each)) for s in sums], 1)
+
+
+def _merged(parts: list[dict]) -> dict:
+    """Sums by value of the same key added up."""
+    out: dict = {}
+    for part in parts:
+        for key, got in part.items():
+            out.setdefault(key, []).append(got)
+    return {k: _sums(np.concatenate([v for v, _ in g]), *np.concatenate([c for _, c in g]).T) for k, g in out.items()}
+
+
+def _node(x: np.ndarray, splits: dict[int, tuple[int, float]]) -> np.ndarray:
+    """The open node of every row: 1 at the root, 2 i and 2 i + 1 below node i."""
+    node = np.ones(len(x), np.int64)
+    for i, (f, at) in sorted(splits.items()):
+        node = np.where(node == i, 2 * i + (x[:, f] > at), node)
+    return node
+
+
+def _grow(level, depth: int, least: float = 5.0, ridge: float = 1.0) -> Tree | float:
+    """One tree. ``level(splits, nodes)`` gives, by (node, feature), the distinct values with their sums of
+    gradient, Hessian and rows; of equal gains the first feature, then the first value is taken."""
+    splits, value, open_ = {}, {}, [1]
+    leaf = lambda t: float(-0.3 * t[0] / (t[1] + ridge))
+    for _ in range(depth):
+        got, after = level(splits, open_) if open_ else {}, []
+        for i in open_:
+            best = (1e-3, None)
+            for f in range(N_FEATURES):
+                v, sums = got.get((i, f), (np.zeros(0), np.zeros((0, 3))))
+                left = np.cumsum(sums, axis=0)
+                whole = left[-1] if len(v) else np.zeros(3)
+                value.setdefault(i, leaf(whole))
+                cut = np.flatnonzero((left[:-1, 2] >= least) & (whole[2] - left[:-1, 2] >= least)) if len(v) else []
+                if whole[2] < 2 * least or not len(cut):
+                    continue
+                a, b = left[cut], whole - left[cut]
+                gain = a[:, 0] ** 2 / (a[:, 1] + ridge) + b[:, 0] ** 2 / (b[:, 1] + ridge) - whole[0] ** 2 / (whole[1] + ridge)
+                j = int(np.argmax(gain >= gain.max() - 1e-9 * abs(gain.max())))     # sums differ in their last digits
+                if gain[j] > best[0] * (1 + 1e-9):
+                    best = (float(gain[j]), (f, float((v[cut[j]] + v[cut[j] + 1]) / 2)), a[j], b[j])
+            if best[1] is not None:
+                splits[i] = best[1]
+                value[2 * i], value[2 * i + 1] = leaf(best[2]), leaf(best[3])
+                after += [2 * i, 2 * i + 1]
+        open_ = after
+    build = lambda i: Tree(*splits[i], build(2 * i), build(2 * i + 1)) if i in splits else value.get(i, -0.0)
+    return build(1)
+
+
+def _boosted(summed: Callable[[Callable], dict], turns: int, depth: int, precision: float) -> Boosted:
+    """``boost`` where ``summed(work)`` adds up ``work(x, y, held, n)`` over all parts of the rows (each n times)."""
+    sides = summed(lambda x, y, held, n: {"fit": _sums(y[~held], n[~held])}).get("fit", (np.zeros(0), np.zeros((0, 1))))
+    count = dict(zip(sides[0], sides[1][:, 0], strict=True))
+    base, trees = math.log((count.get(1.0, 0) + 1) / (count.get(0.0, 0) + 1)), []
+    margin = lambda x, trees: sum((_value(t, x) for t in trees), np.full(len(x), base))
     for _ in range(turns):
-        p = 1 / (1 + np.exp(-margin))
-        tree = _grow(x[fit], (p - y)[fit], (p * (1 - p))[fit], depth)
-        trees.append(tree)
-        margin += _value(tree, x)
-    thresholds = []
+        def level(splits, nodes, trees=tuple(trees)):
+            def work(x, y, held, n):
+                x, y, n = x[~held], y[~held], n[~held]
+                p, node, out = 1 / (1 + np.exp(-margin(x, trees))), _node(x, splits), {}
+                for i in nodes:
+                    own = node == i
+                    g, h = ((p - y) * n)[own], (p * (1 - p) * n)[own]
+                    out |= {(i, f): _sums(x[own, f], g, h, n[own]) for f in range(x.shape[1])} if own.any() else {}
+                return out
+            return summed(work)
+        trees.append(_grow(level, depth))
+
+    def kinds(x, y, held, n):
+        return {k: _sums(margin(x[own], trees), (y * n)[own], n[own]) for k in range(len(KINDS)) if (own := held & (x[:, 0] == k)).any()}
+    held, thresholds = summed(kinds), []
     for k in range(len(KINDS)):
-        own = held & (x[:, 0] == k)
-        order = np.argsort(-margin[own], kind="stable")
-        m, good = margin[own][order], y[own][order]
-        right = np.cumsum(good) / np.arange(1, len(good) + 1)
-        ends = np.append(np.flatnonzero(np.diff(m) != 0), len(m) - 1) if len(m) else np.zeros(0, int)
-        ok = ends[right[ends] >= precision]
+        m, sums = held.get(k, (np.zeros(0), np.zeros((0, 2))))
+        m, sums = m[::-1], np.cumsum(sums[::-1], axis=0)
+        ok = np.flatnonzero(sums[:, 0] / np.maximum(sums[:, 1], 1) >= precision)
         if not len(ok):
             thresholds.append(math.inf)
         else:  # halfway to the next margin below
@@ -237,6 +282,27 @@ def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray, turns: int = 24, depth
     return Boosted(base, trees, thresholds)
 
 
+def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray, turns: int = 24, depth: int = 3, precision: float = 0.99) -> Boosted:
+    """Newton boosting for the log-loss on the rows outside ``held``; a kind's threshold is the
+    lowest margin at which the held-out rows have the asked precision, moved halfway to
+    the next one below, and not under even odds."""
+    return _boosted(lambda work: work(np.asarray(x, float), np.asarray(y, float), held, np.ones(len(x))), turns, depth, precision)
+
+
+def boost_rows(rows: DataFrame, turns: int = 24, depth: int = 3, precision: float = 0.99) -> Boosted:
+    """``boost`` on ``rows`` (the features, y, held, n), summed in the tasks: the driver sees sums by
+    distinct value only."""
+    def summed(work) -> dict:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict = {}
+            for batch in batches:
+                table = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+                total = _merged([total, work(table[:, :N_FEATURES], table[:, N_FEATURES], table[:, N_FEATURES + 1] > 0, table[:, N_FEATURES + 2])])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["part"])
+        return _merged([pickle.loads(r["part"]) for r in rows.mapInArrow(run, "part binary").collect()])
+    return _boosted(summed, turns, depth, precision)
+
+
 # Rewritings of a base span's value: (kind, pattern, replacement, positive).
 # They spell out the disguises and near misses that the trees learn from.
 REWRITINGS = [
@@ -265,25 +331,22 @@ def _examples(kind: str, text: str):
     return build
 
 
-def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 3_000, max_rows: int = 40_000) -> Boosted:
-    """Fit the trees on candidates from at most ``max_docs`` documents with digits or ``@``,
-    the first by the hash of their id, and at most ``max_rows`` candidates. With nothing
-    to learn from, no span is added to the base ones."""
-    ids = docs.where(F.col(text_col).rlike("[0-9]{5}|@")).select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(max_docs).distinct()
-    # At most max_docs ids are broadcast; texts are not shuffled.
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(ids), "id")
+def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Boosted:
+    """Fit the trees on the candidates of all documents; a third of them, by the hash of the id, sets the
+    thresholds. With nothing to learn from, no span is added to the base ones."""
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).where("t IS NOT NULL")
     found = candidate_spans(base_spans(sample, "t"), "t")
     rows = [F.flatten(F.transform(f"base_{kind}", _examples(kind, "t"))) for kind in KINDS]
     clear = _clear(found, F.concat(*[F.col(f"base_{k}") for k in KINDS]))
     rows.append(F.transform(clear, lambda c: F.struct(c["k"].alias("k"), c["v"].alias("v"), c["l"].alias("l"), c["r"].alias("r"), F.lit(0).alias("y"))))
     each = found.select("id", F.explode(F.concat(*rows)).alias("c"))
     x = features(F.col("c.k"), F.col("c.v"), F.col("c.l"), F.col("c.r"))
-    table = (each.select(*[c.cast("int").alias(f"f{i}") for i, c in enumerate(x)], F.col("c.y").alias("y"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("held"),
-                         F.xxhash64("id", "c.v").alias("h")).orderBy("h").limit(max_rows).collect())
-    if not table:
+    names = [f"f{i}" for i in range(N_FEATURES)]
+    rows = each.select(*[c.cast("int").alias(n) for n, c in zip(names, x, strict=True)], F.col("c.y").alias("y"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("held"))
+    table = stored(rows.groupBy(*names, "y", "held").agg(F.count(F.lit(1)).alias("n")), "pii_rows")
+    if table.isEmpty():
         return Boosted(0.0, [], [math.inf] * len(KINDS))
-    got = np.array([[*r[:N_FEATURES], r.y, r.held] for r in table], float)
-    return boost(got[:, :N_FEATURES], got[:, N_FEATURES], got[:, N_FEATURES + 1] > 0)
+    return boost_rows(table)
 
 
 def find_pii(docs: DataFrame, model: Boosted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
