@@ -25,8 +25,9 @@ GROUP_BLOCK = 16
 TERM_BLOCK = 1 << 14
 #: Rows of the languages' totals are copied so often for a join that a large language may spread.
 SALTS = 64
-#: A task gives out its counts when it holds so many (some 40 bytes a row).
-HELD = 700_000
+#: A task gives out its counts when it holds so many (some 40 bytes a row, three times as many rows before
+#: they are summed and as much again while they are).
+HELD = 250_000
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
