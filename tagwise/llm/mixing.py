@@ -30,6 +30,33 @@ BUCKET_BITS = 16
 BLOCK_WORDS = 32
 
 
+@dataclass
+class Rate:
+    """The rate of a posterior: steps from the base rate 1, each along its pull (a column, as long as
+    there are domains) and projected onto x >= 0. A few numbers a step, applied to batches of rows."""
+
+    pulls: np.ndarray
+    step: float
+    ridge: float
+
+    def of(self, p: np.ndarray) -> np.ndarray:
+        x, pull = np.ones(len(p)), p @ self.pulls
+        for k in range(self.pulls.shape[1]):
+            x = np.maximum(0.0, (1 - self.step * self.ridge) * x + self.step * self.ridge - self.step * pull[:, k])
+        return x
+
+    def column(self) -> Column:
+        """The rate over ``_p``."""
+        if not self.pulls.shape[1]:
+            return F.lit(1.0)
+
+        @F.arrow_udf("double")
+        def run(p: pa.Array) -> pa.Array:
+            return pa.array(self.of(p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), len(self.pulls))))
+
+        return run("_p")
+
+
 @dataclass
 class DomainModel:
     """Log-probabilities of hashed words for each domain, and log-priors."""
@@ -38,28 +65,32 @@ class DomainModel:
     prior: np.ndarray
     words: np.ndarray
 
-    def posteriors(self, docs: DataFrame, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    def posteriors(self, docs: DataFrame, text_col: str = "text", keep_text: bool = False, rate: Rate | None = None) -> DataFrame:
         """The columns of ``docs`` (the text only if asked for) with ``_tokens`` and ``_p``, the
-        posteriors in the order of ``domains``. A text without words has the prior."""
+        posteriors in the order of ``domains``, and with a ``rate`` its value ``_x``, worked out in
+        the same task. A text without words has the prior."""
         others = [c for c in docs.columns if c != text_col or keep_text]
         schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add("_tokens", "long").add("_p", T.ArrayType(T.DoubleType()))
+        if rate:
+            schema = schema.add("_x", "double")
+        # a text that is kept is sent to the task once
+        once = keep_text and isinstance(docs.schema[text_col].dataType, T.StringType)
+        at, own = (others.index(text_col), 0) if once else (0, 1)
         shared = docs.sparkSession.sparkContext.broadcast((self.prior, self.words))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prior, words = shared.value
             for batch in batches:
-                buf, offs = text_buffer(batch.column(0))
-                tokens, p = [np.zeros(0, np.int64)], [np.zeros((0, len(prior)))]
+                buf, offs = text_buffer(batch.column(at))
                 for a, b in row_slices(offs):
                     h, first = hash_words(buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a], lower=True)
-                    tokens.append(np.diff(first))
-                    p.append(_posteriors(h, first, prior, words))
-                got = np.concatenate(p)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * len(prior)), pa.array(got.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(tokens), pa.int64()), lists], names=schema.names)
+                    p = _posteriors(h, first, prior, words)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * len(prior)), pa.array(p.reshape(-1)))
+                    more = [pa.array(rate.of(p))] if rate else []
+                    yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[own:], pa.array(np.diff(first), pa.int64()), lists, *more], names=schema.names)
 
-        text = F.col(f"`{text_col}`").cast("string").alias("_text")
-        return docs.select(text, *[F.col(f"`{c}`") for c in others]).mapInArrow(score, schema)
+        text = [] if once else [F.col(f"`{text_col}`").cast("string").alias("_text")]
+        return docs.select(*text, *[F.col(f"`{c}`") for c in others]).mapInArrow(score, schema)
 
 
 def _posteriors(h: np.ndarray, first: np.ndarray, prior: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -113,27 +144,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain_col: str, id_col: str
     return DomainModel(domains, np.log(total / total.sum()), np.log((n + 0.1) / (total + 0.1 * len(n))))
 
 
-def _rate(residuals: list[np.ndarray], step: float, ridge: float) -> Column:
-    """The rate over ``_p`` after the given steps, each projected onto x >= 0, from the base
-    rate 1: a few numbers a step, applied to batches of rows."""
-    if not residuals:
-        return F.lit(1.0)
-    pulls = np.stack(residuals, 1)
-
-    @F.arrow_udf("double")
-    def run(p: pa.Array) -> pa.Array:
-        x = np.ones(len(p))
-        pull = p.flatten().to_numpy(zero_copy_only=False).reshape(len(p), len(pulls)) @ pulls
-        for k in range(pulls.shape[1]):
-            x = np.maximum(0.0, (1 - step * ridge) * x + step * ridge - step * pull[:, k])
-        return pa.array(x)
-
-    return run("_p")
-
-
 def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None, ridge: float = 1e-5,
-              step: float = 0.7, tolerance: float = 1e-4) -> tuple[Column, dict]:
-    """The rate as an expression over ``_p``, and a report: steps, expected shares, residual.
+              step: float = 0.7, tolerance: float = 1e-4) -> tuple[Rate, dict]:
+    """The rate, and a report: steps, expected shares, residual.
 
     Minimises gap' M^-1 gap / 2 + ridge * (token-weighted mean of (x - 1)^2) / 2, where gap
     is the expected domain tokens over the budget (the table's own tokens if None) less the
@@ -147,22 +160,22 @@ def fit_rates(scored: DataFrame, domains: list[str], targets: dict[str, float],
     p = [F.col("_p")[i] for i in range(k)]
     found = scored.agg(F.sum("_tokens"), *[F.sum(F.col("_tokens") * p[i] * p[j]) for i in range(k) for j in range(i, k)]).first()
     if not found[0]:
-        return F.lit(1.0), {"steps": 0, "shares": dict.fromkeys(domains, 0.0), "residual": 1.0}
+        return Rate(np.zeros((k, 0)), step, ridge), {"steps": 0, "shares": dict.fromkeys(domains, 0.0), "residual": 1.0}
     scale = float(budget or found[0])
     moments = np.zeros((k, k))
     moments[np.triu_indices(k)] = found[1:]
     moments = (moments + np.triu(moments, 1).T) / scale
     inverse = np.linalg.inv(moments + 1e-9 * np.trace(moments) * np.eye(k))
-    residuals, last = [], np.full(k, np.inf)
+    rate, last = Rate(np.zeros((k, 0)), step, ridge), np.full(k, np.inf)
     while True:
-        sums = scored.withColumn("_x", _rate(residuals, step, ridge)).agg(*[F.sum(F.col("_tokens") * F.col("_x") * x) for x in p]).first()
+        sums = scored.withColumn("_x", rate.column()).agg(*[F.sum(F.col("_tokens") * F.col("_x") * x) for x in p]).first()
         shares = np.array(sums, float) / scale
         gap = shares - want
         if np.abs(gap).max() < tolerance or np.abs(last - gap).max() < tolerance / 100:
             break
         last = gap
-        residuals.append(inverse @ gap)
-    return _rate(residuals, step, ridge), {"steps": len(residuals), "shares": dict(zip(domains, shares.tolist(), strict=True)), "residual": float(np.abs(gap).max())}
+        rate = Rate(np.column_stack([rate.pulls, inverse @ gap]), step, ridge)
+    return rate, {"steps": rate.pulls.shape[1], "shares": dict(zip(domains, shares.tolist(), strict=True)), "residual": float(np.abs(gap).max())}
 
 
 def copies_of(rate: Column, id_col: Column) -> Column:
@@ -177,7 +190,7 @@ class Mix:
     """A fitted mixture: rates for any documents of the same schema."""
 
     model: DomainModel
-    rate: Column
+    rate: Rate
     report: dict
     id_col: str
     text_col: str
@@ -185,13 +198,14 @@ class Mix:
     def rates(self, docs: DataFrame) -> DataFrame:
         """``(id, tokens, p, rate, copies)`` for every row of ``docs``."""
         own = docs.select(F.col(f"`{self.id_col}`"), F.col(f"`{self.text_col}`"))
-        out = self.model.posteriors(own, self.text_col).withColumn("rate", self.rate)
-        return out.select(self.id_col, F.col("_tokens").alias("tokens"), F.col("_p").alias("p"), "rate", copies_of(F.col("rate"), F.col(f"`{self.id_col}`")).alias("copies"))
+        out = self.model.posteriors(own, self.text_col, rate=self.rate)
+        return out.select(self.id_col, F.col("_tokens").alias("tokens"), F.col("_p").alias("p"), F.col("_x").alias("rate"),
+                          copies_of(F.col("_x"), F.col(f"`{self.id_col}`")).alias("copies"))
 
     def resample(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs``, all columns as they are, each as often as its copies say."""
-        scored = self.model.posteriors(docs, self.text_col, keep_text=True)
-        many = scored.withColumn("_copies", copies_of(self.rate, F.col(f"`{self.id_col}`"))).where("_copies > 0")
+        scored = self.model.posteriors(docs, self.text_col, keep_text=True, rate=self.rate)
+        many = scored.withColumn("_copies", copies_of(F.col("_x"), F.col(f"`{self.id_col}`"))).where("_copies > 0")
         return many.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

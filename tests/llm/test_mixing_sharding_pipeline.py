@@ -38,6 +38,14 @@ def test_targets_that_are_out_of_reach_leave_a_residual(spark):
     assert fitted.model.domains == ["a"] and all(r.rate >= 0 for r in fitted.rates(docs).collect())
 
 
+def test_copies_are_made_in_one_python_task_and_texts_sent_once(spark):
+    """A second Python worker beside each task, and texts sent twice, took the pipeline's executors over their memory."""
+    docs = spark.createDataFrame([(i, f"a{i % 3} b", "a" if i % 2 else "b") for i in range(50)], "doc_id long, text string, lang string")
+    fitted = mix(docs, docs.select("doc_id", "lang"), {"a": 3, "b": 1}, "lang")
+    plan = fitted.resample(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 1 and "_text" not in plan
+
+
 def test_mixing_odd_rows(odd, empty):
     fitted = mix(odd, odd.select("doc_id", "lang"), {"en": 1}, "lang")
     assert fitted.rates(odd).count() == 5
