@@ -9,20 +9,17 @@ always kept; the trees add spans that lie clear of them.
 Training needs no labels by hand: base spans, and their rewritings into the disguised
 spellings, are positive; other candidates, and rewritings that break a format, are
 negative. The trees are fitted on the candidates of all documents: equal rows of features are
-counted in one aggregate, and each level of a tree is one pass that sums gradients by node,
-feature and value in the tasks. They are applied as CASE expressions. All work on texts is
+counted in one aggregate, and each level of a tree is one aggregate that sums gradients by node,
+feature and value. They are applied as CASE expressions. All work on texts is
 done within the row: no text is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -183,9 +180,11 @@ class Boosted:
     thresholds: list[float]
 
     def margin(self, x: list[Column]) -> Column:
-        def walk(t):
-            return F.lit(float(t)) if not isinstance(t, Tree) else F.when(x[t.feature] <= t.at, walk(t.low)).otherwise(walk(t.high))
-        return sum((walk(t) for t in self.trees), F.lit(self.base))
+        return sum((_walk(t, x) for t in self.trees), F.lit(self.base))
+
+
+def _walk(t: Tree | float, x: list[Column]) -> Column:
+    return F.lit(float(t)) if not isinstance(t, Tree) else F.when(x[t.feature] <= t.at, _walk(t.low, x)).otherwise(_walk(t.high, x))
 
 
 def _value(t, x: np.ndarray) -> np.ndarray:
@@ -200,15 +199,6 @@ def _sums(values: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return each, np.stack([np.bincount(at, s, len(each)) for s in sums], 1)
 
 
-def _merged(parts: list[dict]) -> dict:
-    """Sums by value of the same key added up."""
-    out: dict = {}
-    for part in parts:
-        for key, got in part.items():
-            out.setdefault(key, []).append(got)
-    return {k: _sums(np.concatenate([v for v, _ in g]), *np.concatenate([c for _, c in g]).T) for k, g in out.items()}
-
-
 def _node(x: np.ndarray, splits: dict[int, tuple[int, float]]) -> np.ndarray:
     """The open node of every row: 1 at the root, 2 i and 2 i + 1 below node i."""
     node = np.ones(len(x), np.int64)
@@ -248,28 +238,85 @@ def _grow(level, depth: int, least: float = 5.0, ridge: float = 1.0) -> Tree | f
     return build(1)
 
 
-def _boosted(summed: Callable[[Callable], dict], turns: int, depth: int, precision: float) -> Boosted:
-    """``boost`` where ``summed(work)`` adds up ``work(x, y, held, n)`` over all parts of the rows (each n times)."""
-    sides = summed(lambda x, y, held, n: {"fit": _sums(y[~held], n[~held])}).get("fit", (np.zeros(0), np.zeros((0, 1))))
-    count = dict(zip(sides[0], sides[1][:, 0], strict=True))
+class _Rows:
+    """Training rows in arrays, each counted ``n`` times, with their margins so far."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, n: np.ndarray):
+        self.x, self.y, self.held, self.n = x, y, held, n
+
+    def sides(self) -> dict[float, float]:
+        """Rows outside ``held`` by y."""
+        each, n = _sums(self.y[~self.held], self.n[~self.held])
+        return dict(zip(each.tolist(), n[:, 0].tolist(), strict=True))
+
+    def start(self, base: float) -> None:
+        self.m = np.full(len(self.x), base)
+
+    def add(self, tree: Tree | float) -> None:
+        self.m = self.m + _value(tree, self.x)
+
+    def level(self, splits: dict[int, tuple[int, float]], nodes: list[int]) -> dict:
+        """By (node, feature): distinct values, sums of gradient, Hessian and rows outside ``held``."""
+        x, y, n, out = self.x[~self.held], self.y[~self.held], self.n[~self.held], {}
+        p, node = 1 / (1 + np.exp(-self.m[~self.held])), _node(x, splits)
+        for i in nodes:
+            own = node == i
+            g, h = ((p - y) * n)[own], (p * (1 - p) * n)[own]
+            out |= {(i, f): _sums(x[own, f], g, h, n[own]) for f in range(x.shape[1])} if own.any() else {}
+        return out
+
+    def kinds(self) -> dict:
+        """By kind: the distinct margins of the held-out rows, sums of y and rows."""
+        return {k: _sums(self.m[own], (self.y * self.n)[own], self.n[own]) for k in range(len(KINDS)) if (own := self.held & (self.x[:, 0] == k)).any()}
+
+
+class _Table:
+    """As ``_Rows``, of a table (f0, f1, ..., y, held, n): every sum is one aggregate, and the driver sees
+    sums by distinct value only. A tree's margins are written once, before the next tree."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.x = rows, [F.col(f"f{i}") for i in range(N_FEATURES)]
+
+    def sides(self) -> dict[float, float]:
+        return {float(y): float(n) for y, n in self.rows.where("NOT held").groupBy("y").agg(F.sum("n")).collect()}
+
+    def start(self, base: float) -> None:
+        self.rows = self.rows.withColumn("m", F.lit(base))
+
+    def add(self, tree: Tree | float) -> None:
+        self.rows = stored(self.rows.withColumn("m", F.col("m") + _walk(tree, self.x)), "pii_margins")
+
+    def level(self, splits: dict[int, tuple[int, float]], nodes: list[int]) -> dict:
+        node = F.lit(1)
+        for i, (f, at) in sorted(splits.items()):
+            node = F.when(node == i, F.when(self.x[f] > at, 2 * i + 1).otherwise(2 * i)).otherwise(node)
+        p = 1 / (1 + F.exp(-F.col("m")))
+        own = self.rows.where("NOT held").select(*self.x, "y", "n", p.alias("p"), node.alias("node")).where(F.col("node").isin(nodes))
+        each = own.select("node", ((F.col("p") - F.col("y")) * F.col("n")).alias("g"), (F.col("p") * (1 - F.col("p")) * F.col("n")).alias("h"), "n",
+                          F.posexplode(F.array(*self.x)).alias("f", "v"))
+        return self._by(each.groupBy("node", "f", "v").agg(F.sum("g"), F.sum("h"), F.sum("n")), 2)
+
+    def kinds(self) -> dict:
+        each = self.rows.where("held").groupBy("f0", "m").agg(F.sum(F.col("y") * F.col("n")), F.sum("n"))
+        return {k: got for (k,), got in self._by(each, 1).items()}
+
+    @staticmethod
+    def _by(sums: DataFrame, keys: int) -> dict:
+        """The rows of (keys, value, sums) by key, values ascending."""
+        out: dict = {}
+        for r in sums.collect():
+            out.setdefault(tuple(map(int, r[:keys])), []).append([float(z) for z in r[keys:]])
+        return {k: (t[:, 0], t[:, 1:]) for k, v in out.items() for t in [np.array(sorted(v))]}
+
+
+def _boosted(rows: _Rows | _Table, turns: int, depth: int, precision: float) -> Boosted:
+    count = rows.sides()
     base, trees = math.log((count.get(1.0, 0) + 1) / (count.get(0.0, 0) + 1)), []
-    margin = lambda x, trees: sum((_value(t, x) for t in trees), np.full(len(x), base))
+    rows.start(base)
     for _ in range(turns):
-        def level(splits, nodes, trees=tuple(trees)):
-            def work(x, y, held, n):
-                x, y, n = x[~held], y[~held], n[~held]
-                p, node, out = 1 / (1 + np.exp(-margin(x, trees))), _node(x, splits), {}
-                for i in nodes:
-                    own = node == i
-                    g, h = ((p - y) * n)[own], (p * (1 - p) * n)[own]
-                    out |= {(i, f): _sums(x[own, f], g, h, n[own]) for f in range(x.shape[1])} if own.any() else {}
-                return out
-            return summed(work)
-        trees.append(_grow(level, depth))
-
-    def kinds(x, y, held, n):
-        return {k: _sums(margin(x[own], trees), (y * n)[own], n[own]) for k in range(len(KINDS)) if (own := held & (x[:, 0] == k)).any()}
-    held, thresholds = summed(kinds), []
+        trees.append(_grow(rows.level, depth))
+        rows.add(trees[-1])
+    held, thresholds = rows.kinds(), []
     for k in range(len(KINDS)):
         m, sums = held.get(k, (np.zeros(0), np.zeros((0, 2))))
         m, sums = m[::-1], np.cumsum(sums[::-1], axis=0)
@@ -286,21 +333,12 @@ def boost(x: np.ndarray, y: np.ndarray, held: np.ndarray, turns: int = 24, depth
     """Newton boosting for the log-loss on the rows outside ``held``; a kind's threshold is the
     lowest margin at which the held-out rows have the asked precision, moved halfway to
     the next one below, and not under even odds."""
-    return _boosted(lambda work: work(np.asarray(x, float), np.asarray(y, float), held, np.ones(len(x))), turns, depth, precision)
+    return _boosted(_Rows(np.asarray(x, float), np.asarray(y, float), held, np.ones(len(x))), turns, depth, precision)
 
 
 def boost_rows(rows: DataFrame, turns: int = 24, depth: int = 3, precision: float = 0.99) -> Boosted:
-    """``boost`` on ``rows`` (the features, y, held, n), summed in the tasks: the driver sees sums by
-    distinct value only."""
-    def summed(work) -> dict:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict = {}
-            for batch in batches:
-                table = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
-                total = _merged([total, work(table[:, :N_FEATURES], table[:, N_FEATURES], table[:, N_FEATURES + 1] > 0, table[:, N_FEATURES + 2])])
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], ["part"])
-        return _merged([pickle.loads(r["part"]) for r in rows.mapInArrow(run, "part binary").collect()])
-    return _boosted(summed, turns, depth, precision)
+    """``boost`` on ``rows`` (the features f0, f1, ..., y, held, n) by DataFrame aggregates."""
+    return _boosted(_Table(rows), turns, depth, precision)
 
 
 # Rewritings of a base span's value: (kind, pattern, replacement, positive).

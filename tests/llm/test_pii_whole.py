@@ -17,6 +17,17 @@ def test_sums_of_parts_give_the_model_of_the_whole(spark):
     assert np.allclose(got.thresholds, whole.thresholds)
 
 
+def test_trees_are_fitted_by_dataframe_operations_only(spark, monkeypatch):
+    """No Python on the executors."""
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('write to a', id, '@b.org or look at x', id, '.This') AS text")
+
+    def used(*_, **__):
+        raise AssertionError("Python on the executors")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, used)
+    assert any(isinstance(t, pii.Tree) for t in pii.fit_pii(docs).trees)
+
+
 def test_every_document_is_learnt_from(spark, monkeypatch):
     held = {}
     monkeypatch.setattr(pii, "boost_rows", lambda rows: held.update(n=rows.groupBy().sum("n").first()[0]))
