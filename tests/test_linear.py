@@ -100,3 +100,21 @@ def test_svm_query_reports_its_end(spark, sf):
     assert len(rows) == 10
     for r in rows:
         assert r.steps == 0 or r.last_gradient < 1e-4 * r.first_gradient
+
+
+def test_passes_are_those_of_the_slowest_label(sample):
+    _, _, df = sample
+    alone = [L.fit_linear(MO.training_rows(df, [x]), 12, [x], "logistic") for x in LABELS[:2]]
+    model = L.fit_linear(MO.training_rows(df, LABELS[:2]), 12, LABELS[:2], "logistic")
+    assert model.passes == max(m.passes for m in alone)
+    assert model.steps.tolist() == [m.steps[0] for m in alone]
+    assert model.coef == pytest.approx(np.hstack([m.coef for m in alone]), abs=1e-9)
+
+
+def test_plain_and_sparse_blocks_give_the_same(sample, monkeypatch):
+    _, _, df = sample
+    fits = []
+    for cells in (0, 40):
+        monkeypatch.setattr(L, "PLAIN_CELLS", cells)
+        fits.append(L.fit_linear(MO.training_rows(df, LABELS[:2]), 12, LABELS[:2], "svm"))
+    assert fits[0].coef == pytest.approx(fits[1].coef, abs=1e-9)
