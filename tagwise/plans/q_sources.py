@@ -191,8 +191,9 @@ def q_commit(spark, sf):
 def bulk_load(store, docs):
     """Store rows with the new documents (id, content, techniques, manipulative,
     trigger_words), and the rejects with their reason. A text's vector is the mean of its
-    chunks', combined with its spans' vectors where it has spans (A10)."""
-    ok = docs.where(F.col("content").isNotNull())
+    chunks', combined with its spans' vectors where it has spans (A10). Ids that the store has
+    are left out before anything is embedded, so every new text is embedded once."""
+    ok = io.anti_join_big(docs.where(F.col("content").isNotNull()), store.select("id"))
     rejects = docs.where(F.col("content").isNull()).select("id", F.lit("no text").alias("reason"), "techniques", "manipulative")
     spans = F.coalesce("trigger_words", F.array().cast(docs.schema["trigger_words"].dataType))
     pieces = F.transform(SP.span_slices(F.col("content"), spans), lambda p: TX.clean_for_embedding(p))
@@ -201,7 +202,8 @@ def bulk_load(store, docs):
     base, sv = F.col("_v")[0], F.slice("_v", 2, F.size("_v"))
     usable = (F.size("_w") > 0) & (F.size("_w") == F.size(sv)) & ~F.exists("_w", lambda w: w.isNull())
     emb = F.when(usable, V.weighted_combine(base, sv, F.col("_w"))).otherwise(base)
-    return io.store_upsert(store, d.select("id", emb.alias("embedding"), "techniques", "manipulative"), stamp=False), rejects
+    fresh = io.first_by_id(d.select("id", emb.alias("embedding"), "techniques", "manipulative"))
+    return store.unionByName(fresh, allowMissingColumns=True), rejects
 
 
 _SPAN = "substr(content, least(greatest(tw[1], 0), n) + 1, greatest(least(tw[2], n) - least(greatest(tw[1], 0), n), 0))"
