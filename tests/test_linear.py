@@ -118,3 +118,21 @@ def test_plain_and_sparse_blocks_give_the_same(sample, monkeypatch):
         monkeypatch.setattr(L, "PLAIN_CELLS", cells)
         fits.append(L.fit_linear(MO.training_rows(df, LABELS[:2]), 12, LABELS[:2], "svm"))
     assert fits[0].coef == pytest.approx(fits[1].coef, abs=1e-9)
+
+
+@pytest.mark.parametrize("size", [1 << 16, (1 << 16) + 1])
+def test_blocks_hold_the_places_of_all_features(spark, size):
+    """Two bytes each where they are enough, the last place (the constant feature) included."""
+    rows = spark.createDataFrame([(Vectors.sparse(size - 1, [(0, 2.0), (size - 2, 3.0)]), [1.0], [1.0])], ["features", "y", "c"])
+    blocks = L.pack(rows, size - 1)
+    assert len(blocks.first()["columns"]) == 3 * (2 if size <= 1 << 16 else 4)
+    w = np.zeros((size, 1))
+    w[[0, size - 2, size - 1], 0] = 1, 10, 100
+    got = L._summed(blocks, 1, lambda b: b.back(b.times(w)), (size, 1), 1, size)
+    assert got[[0, size - 2, size - 1], 0].tolist() == [264.0, 396.0, 132.0]
+
+
+def test_model_rows_leave_the_parts_of_the_features(spark, sf):
+    from tagwise.plans import q_models as Q
+
+    assert Q._model_rows(spark, sf).columns == ["id", "split", "techniques", "features"]
